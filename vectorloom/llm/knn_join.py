@@ -171,7 +171,9 @@ def knn_join(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: st
     tasks = spark.createDataFrame([(g, int(p)) for g in range(len(groups)) for p in range(many[g])], "g int, p int")
     per = spark.createDataFrame([(g, int(c)) for g, c in enumerate(many)], "g int, many int")
     queries = sent.where("part < 0").select("g", "id", "x").join(F.broadcast(tasks), "g")
-    data = sent.where("part >= 0").join(F.broadcast(per), "g").select("g", (F.col("part") % F.col("many")).alias("p"), "id", "x")
+    data = sent.where("part >= 0").join(F.broadcast(per), "g").withColumn("p", F.col("part") % F.col("many"))
+    # fresh names: both sides come from one table
+    queries, data = (t.select(*[F.col(c).alias(c) for c in ("g", "p", "id", "x")]) for t in (queries, data))
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         def side(t):
