@@ -2,8 +2,8 @@
 transitions, trained in numpy from labelled spans.
 
 Texts are read in overlapping windows; what the windows find is joined over
-the whole document. Every kind of span here holds a digit or "@", and the
-decoder is constrained to that. A window with neither has one valid path, the
+the whole document. Every kind of span here holds a digit or "@", only phone
+and card numbers hold white space, and numbers hold no letters; the decoder is constrained to that. A window with neither has one valid path, the
 empty one, so it isn't run through the network; this changes no result.
 """
 
@@ -208,6 +208,21 @@ def _allowed() -> np.ndarray:
 
 
 _FORBIDDEN = np.where(_allowed(), 0, -1e4).astype(np.float32)
+
+
+def _possible() -> np.ndarray:
+    """For every class of character a bar on the kinds that never hold it."""
+    spaces = {i for c, i in _ASCII.items() if c.isspace()} | {1 + len(_ASCII) + _OTHER.index("space")}
+    letters = {i for c, i in _ASCII.items() if c.isalpha()} | {1 + len(_ASCII) + _OTHER.index(k) for k in ("lower", "upper")}
+    out = np.zeros((CHARS, TAGS), np.float32)
+    for classes, kinds in ((spaces, ("EMAIL", "IP", "SECRET")), (letters, ("PHONE", "IP", "CARD"))):
+        for k in kinds:
+            at = 1 + 2 * KINDS.index(k)
+            out[sorted(classes), at : at + 2] = -1e4
+    return out
+
+
+_BARRED = _possible()
 _START = np.array([0] + [0, -1e4] * len(KINDS), np.float32)
 
 
@@ -290,6 +305,7 @@ class Tagger:
     def decode(self, x: np.ndarray) -> np.ndarray:
         """The best tags (batch, time) by the Viterbi algorithm."""
         em, _, _ = self.emissions(x)
+        em = em + _BARRED[x.T]
         steps, n, _ = em.shape
         a = (self.p["a"] + _FORBIDDEN).T[None]
         score, back = em[0] + _START, np.empty((steps, n, TAGS), np.int8)
