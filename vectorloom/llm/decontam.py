@@ -81,7 +81,7 @@ class Templates:
         out[_among(h, units) & after] = _UNIT
         again = np.concatenate([[False], (out[1:] == _TITLE) & (out[:-1] == _TITLE)]) if len(out) else np.zeros(0, bool)
         keep = np.flatnonzero(~again)
-        last = np.append(keep[1:], len(starts)) - 1
+        last = np.append(keep[1:], len(starts))[: len(keep)] - 1
         self.kind, self.starts, self.ends = out[keep], starts[keep], ends[last]
         self.hash = np.where(self.kind == _WORD, h[keep], self.kind.astype(np.uint64))
         self.at = np.searchsorted(text_of[keep], np.arange(len(texts) + 1))
