@@ -84,14 +84,15 @@ class EliasFano:
         later = h > 0
         at[later] = _select(self.high, self.zeros, h[later] - 1, False) - (h[later] - 1)
         want = x[todo].astype(np.uint64) & self.mask
-        while len(todo):
-            go = at < end
-            todo, at, end, want = todo[go], at[go], end[go], want[go]
-            low = self._low(at)
-            hit = low == want
-            out[todo[hit]] = at[hit]
-            go = low < want
-            todo, at, end, want = todo[go], at[go] + 1, end[go], want[go]
+        lo, hi, open_ = at, end.copy(), np.flatnonzero(at < end)
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = self._low(mid) < want[open_]
+            lo[open_[less]], hi[open_[~less]] = mid[less] + 1, mid[~less]
+            open_ = open_[lo[open_] < hi[open_]]
+        inside = np.flatnonzero(lo < end)
+        hit = inside[self._low(lo[inside]) == want[inside]]
+        out[todo[hit]] = lo[hit]
         return out
 
 

@@ -30,6 +30,8 @@ BITS, UNKNOWN, START, WORDS = 20, 0, 1, 2
 VOCABULARY = (1 << BITS) - WORDS
 LEAST_WORD, LEAST_BIGRAM, LEAST_TRIGRAM, DISCOUNT, SHARD_TOKENS = 2, 2, 2, 0.75, 4_000_000
 _LOW = np.int64((1 << BITS) - 1)
+#: Characters counted or scored at once: the more, the fewer times an n-gram is shuffled or looked up.
+PART = 2_000_000
 
 
 def word_ids(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -164,16 +166,21 @@ class Model:
         w = np.flatnonzero(place > 0)
         if not len(w):
             return out
-        v = ids[w - 1]
-        b = self.bigrams(v, ids[w])
-        p = np.where(b["at"] >= 0, b["p"], self.words["bow"][v] + self.words["p"][ids[w]])
-        at, bow = np.full(len(ids), -1, np.int64), np.zeros(len(ids))
-        at[w], bow[w] = b["at"], b["bow"]
+        # each different n-gram is looked up once, in the order of the trie
+        grams, of = np.unique((ids[w - 1] << BITS) + ids[w], return_inverse=True)
+        u, v = grams >> BITS, grams & _LOW
+        b = self.bigrams(u, v)
+        p = np.where(b["at"] >= 0, b["p"], self.words["bow"][u] + self.words["p"][v])[of]
+        gram = np.full(len(ids), -1, np.int64)
+        gram[w] = of
         t = np.flatnonzero(place[w] > 1)
-        context = at[w[t] - 1]
-        p[t] += np.where(context >= 0, bow[w[t] - 1], 0)
-        t = t[(context >= 0) & (b["at"][t] >= 0)]
-        full = self.trigrams(ids[w[t] - 2], ids[w[t] - 1], at[w[t] - 1], b["rank"][t])
+        before = gram[w[t] - 1]
+        p[t] += b["bow"][before]
+        known = (b["at"][before] >= 0) & (b["at"][of[t]] >= 0)
+        t, before = t[known], before[known]
+        three, of3 = np.unique((before << BITS) + b["rank"][of[t]], return_inverse=True)
+        context = three >> BITS
+        full = self.trigrams(u[context], v[context], b["at"][context], three & _LOW)[of3]
         p[t] = np.where(np.isnan(full), p[t], full)
         out[w] = p
         return out
@@ -246,7 +253,7 @@ def train(docs: DataFrame, vocabulary: int = VOCABULARY, least_word: int = LEAST
         known, limits = np.load(f"{folder}/vocabulary.npy"), np.load(f"{folder}/bounds.npy")
         for batch in batches:
             found = batch.column(0).to_pylist()
-            for a, b in parts(found):
+            for a, b in parts(found, PART):
                 hashes, at = word_hashes(found[a:b])
                 ids, place = with_starts(word_ids(hashes, known), at)
                 two = (ids[:-1] << BITS) + ids[1:]
@@ -362,7 +369,7 @@ def score(docs: DataFrame, folder: str | None = None, **settings) -> DataFrame:
         model = opened(folder)
         for batch in batches:
             found = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in parts(found):
+            for a, b in parts(found, PART):
                 h, at = word_hashes(found[a:b])
                 ids, place = with_starts(word_ids(h, model.vocabulary), at)
                 p = np.concatenate([[0], np.cumsum(model.log10(ids, place))])
