@@ -99,7 +99,7 @@ def _relative(values: np.ndarray, pointers: np.ndarray) -> np.ndarray:
     after the last value of the one before."""
     n = np.diff(pointers)
     ends = np.cumsum(np.where(n > 0, values[np.maximum(pointers[1:] - 1, 0)] + 1, 0)) if len(values) else np.zeros(len(n), np.int64)
-    base = np.concatenate([[0], ends[:-1]])
+    base = np.concatenate([[0], ends])[:-1]
     return values + np.repeat(base, n)
 
 
