@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import END_OF_TEXT, TOKENIZER, bpe, cut, mix64, small, written
+from .common import BROADCAST_ROWS, END_OF_TEXT, TOKENIZER, bpe, cut, mix64, small, written
 
 BLOCK, SHARD, CHUNK_DOCS, ALPHA = 2048, 1024, 256, 0.7
 
@@ -167,4 +167,5 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     numbers = per_chunk.withColumn("first", first).select("source", "chunk", "first", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("k"))
     numbers = numbers.select("source", "chunk", "k", (F.col("first") + F.col("k")).alias("block"))
     wanted = cut(slots.join(numbers, ["source", "block"]))
-    return blocks.join(small(wanted, total), ["source", "chunk", "k"]).select("shard", "slot", "source", "block", "epoch", "doc_ids", "n_tokens", "tokens")
+    # its rows have seven columns, so the limit is a fifth of that for pairs of integers
+    return blocks.join(small(wanted, total, BROADCAST_ROWS // 5), ["source", "chunk", "k"]).select("shard", "slot", "source", "block", "epoch", "doc_ids", "n_tokens", "tokens")
