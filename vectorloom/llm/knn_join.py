@@ -70,8 +70,8 @@ def solve(qid: np.ndarray, q: np.ndarray, did: np.ndarray, d: np.ndarray, k: int
     outs = []
     own = (d * d).sum(axis=1)
     slack = 1e-9 * (1 + own.max(initial=0))
-    for a in range(0, len(q), 512):
-        part, ids = q[a : a + 512], qid[a : a + 512]
+    for a in range(0, len(q), 128):
+        part, ids = q[a : a + 128], qid[a : a + 128]
         s = own - 2 * part @ d.T + (part * part).sum(axis=1)[:, None]
         s[ids[:, None] == did[None]] = math.inf
         worst = np.partition(s, k - 1, axis=1)[:, k - 1] if len(d) > k else np.full(len(part), math.inf)
