@@ -120,7 +120,13 @@ def map_arrays(path: str) -> dict[str, np.ndarray]:
         n = int.from_bytes(f.read(8), "little")
         head = json.loads(f.read(n))
     start = -(-(n + 8) // 64) * 64
-    return {k: np.memmap(path, np.dtype(t), "r", start + at, (size,)).view(np.ndarray) if size else np.zeros(0, np.dtype(t)) for k, (t, size, at) in head.items()}
+    # one mapping a file, however many arrays it has
+    raw = np.memmap(path, np.uint8, "r").view(np.ndarray)
+    out = {}
+    for k, (t, size, at) in head.items():
+        kind = np.dtype(t)
+        out[k] = raw[start + at : start + at + size * kind.itemsize].view(kind)
+    return out
 
 
 def nested(name: str, arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:

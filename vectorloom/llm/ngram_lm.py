@@ -118,19 +118,21 @@ class Model:
     def __init__(self, folder: str):
         self.words = map_arrays(f"{folder}/words")
         self.vocabulary, self.bounds = self.words["vocabulary"], self.words["bounds"]
-        self.shards = []
-        for k in range(len(self.bounds)):
-            a = map_arrays(f"{folder}/shard-{k}")
-            seqs = {s: EliasFano(unnested(s, a)) for s in ("p2", "v2", "p3", "v3")}
-            self.shards.append((int(a["first"][0]), int(a["first"][1]), seqs, a))
+        self.folder, self.opened = folder, {}
+
+    def shard(self, k: int) -> tuple[int, int, dict[str, EliasFano], dict[str, np.ndarray]]:
+        """First word, entries of it in earlier shards, sequences and tables of a shard, mapped when it is first asked."""
+        if k not in self.opened:
+            a = map_arrays(f"{self.folder}/shard-{k}")
+            self.opened[k] = int(a["first"][0]), int(a["first"][1]), {s: EliasFano(unnested(s, a)) for s in ("p2", "v2", "p3", "v3")}, a
+        return self.opened[k]
 
     def _by_shard(self, key: np.ndarray):
         shard = np.searchsorted(self.bounds, key, "right") - 1
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(len(self.bounds) + 1))
-        for k in range(len(self.bounds)):
-            if cuts[k] < cuts[k + 1]:
-                yield self.shards[k], order[cuts[k] : cuts[k + 1]]
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            yield self.shard(k), order[cuts[k] : cuts[k + 1]]
 
     def bigrams(self, u: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
         """For each bigram: its place in its shard or -1, log10 probability,
