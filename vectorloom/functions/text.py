@@ -7,10 +7,10 @@ per-word work to one split a sentence.
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -37,7 +37,7 @@ STOP_WORDS = tuple(
 
 @F.arrow_udf(StringType())
 def _nfc(v: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(v, form="NFC")
+    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in v.to_pylist()], pa.string())
 
 
 def nfc(t: Column) -> Column:

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 
 def _c(x) -> Column:
@@ -124,11 +125,11 @@ def sum_vectors(df: DataFrame, keys: list[str], vec: str, dim: int | None = None
     if dim is not None and dim <= 128:
         sums = df.groupBy(*keys).agg(F.count(vec).alias("n"), *[F.sum(doubles(vec)[i]).alias(f"_{i}") for i in range(dim)])
         return sums.select(*keys, "n", F.array(*[f"_{i}" for i in range(dim)]).alias("total"))
-    schema = df.select(*keys).schema.add("n", "long").add("total", "array<double>")
+    schema = df.select(*keys).schema.add("n", LongType()).add("total", ArrayType(DoubleType()))
 
-    def merge(key, table: pa.Table) -> pa.Table:
+    def merge(table: pa.Table) -> pa.Table:
         x = np.stack([np.asarray(v, float) for v in table.column("total").to_pylist()])
-        out = {k: pa.array([v.as_py()], v.type) for k, v in zip(keys, key)}
+        out = {k: table.column(k).slice(0, 1) for k in keys}
         return pa.table(out | {"n": pa.array([int(sum(table.column("n").to_pylist()))]), "total": pa.array([x.sum(axis=0)], pa.list_(pa.float64()))})
 
     def partial(batches):

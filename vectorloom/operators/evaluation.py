@@ -55,8 +55,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """(n, correlation): Pearson's correlation of the ranks; 0 for fewer than two rows or no variance."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     r = average_rank(average_rank(both, "x", "rx"), "y", "ry")
-    c = F.corr("rx", "ry")
-    return r.agg(F.count("*").alias("n"), F.coalesce(F.when((F.count("*") > 1) & ~F.isnan(c), c), F.lit(0.0)).alias("correlation"))
+    c = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
+    return r.agg(F.count("*").alias("n"), F.coalesce(c, F.lit(0.0)).alias("correlation"))
 
 
 def benchmark(pairs: DataFrame, vectors: DataFrame, word_col: str = "word", vec: str = "vec") -> DataFrame:

@@ -48,11 +48,11 @@ def stream_train(stream: DataFrame, model: EmbeddingModel, corpus: DataFrame, st
     def learn(batch: DataFrame, batch_id: int) -> None:
         nonlocal last
         now, seen = load_model(spark, f"{state}/model-{batch_id}"), spark.read.parquet(f"{state}/corpus-{batch_id}")
-        rows = batch.withColumn("doc_id", F.lit(-1 - batch_id).cast("long")).withColumn("sent_id", F.xxhash64("words"))
-        rows = batches(rows.withColumn("_u", F.monotonically_increasing_id()), ["_u"], batch_size, F.shiftright("_u", 12))
+        rows = batches(batch.withColumn("_u", F.monotonically_increasing_id()), ["_u"], batch_size, F.shiftright("_u", 12))
+        number = (F.col("batch_id") * batch_size + F.col("place")).cast("int")
         path = f"{state}/arrived-{batch_id}"
-        rows.select("doc_id", F.col("_u").alias("sent_id"), "words", "batch_id").write.mode("overwrite").parquet(path)
-        rows = spark.read.parquet(path).withColumn("sent_id", F.col("sent_id").cast("int"))
+        rows.select(F.lit(-1 - batch_id).cast("long").alias("doc_id"), number.alias("sent_id"), "words", "batch_id").write.mode("overwrite").parquet(path)
+        rows = spark.read.parquet(path)
         for k in [r["batch_id"] for r in rows.select("batch_id").distinct().orderBy("batch_id").collect()]:
             now, seen = update(now, seen, rows.where(F.col("batch_id") == k).drop("batch_id"), epochs)
         save_model(now, f"{state}/model-{batch_id + 1}")
