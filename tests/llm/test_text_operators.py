@@ -1,0 +1,364 @@
+"""Language ID, near-dedup, decontamination, PII, mixing: brute force and edge cases."""
+
+import itertools
+import math
+import re
+
+import numpy as np
+import pytest
+
+from vectorloom.llm import decontam, langid, mixing, neardup, pii
+from vectorloom.llm.common import bpe
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = "amber birch cobalt dune ember fjord grove harbor inlet juniper kelp lagoon meadow nectar orchid pebble quartz ridge sedge tundra umber valley willow yarrow zephyr".split()
+
+
+def prose(seed: int, n: int) -> str:
+    rng = np.random.default_rng(seed)
+    return " ".join(WORDS[i] + WORDS[j] for i, j in rng.integers(0, len(WORDS), (n, 2)))
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "a", len(t) if t is not None else None) for i, t in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def model():
+    return pii.trained()
+
+
+@pytest.fixture
+def awkward(spark):
+    """Nulls anywhere, an empty and a very long text, repeated rows, and extra columns whose names the operators use inside."""
+    schema = DOCS + ", _gone long, band long, words string, same string, root long, id long, hash long, a long, b long"
+    extra = (1, 2, "w", "s", 3, 4, 5, 6, 7)
+    long = prose(1, 200_000)
+    rows = [(None, prose(2, 30), "en", "a", 5), (1, None, "en", "a", None), (2, "", None, None, 0), (3, long, "en", "a", len(long)), (4, prose(3, 40), "en", None, 1), (4, prose(3, 40), "en", None, 1), (5, prose(3, 40), "en", "b", 1), (6, " \n\t ", "en", "b", 4), (7, "\0 nul \0", "en", "b", 6)]
+    return spark.createDataFrame([r + extra for r in rows], schema)
+
+
+@pytest.fixture
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# --- language ---
+
+LETTERS = {"xx": "abcd efgh", "yy": "qrst uvwx", "zz": "ijkl mnop"}
+
+
+def tongue(lang: str, seed: int, n: int = 60) -> str:
+    rng = np.random.default_rng(seed)
+    letters = LETTERS[lang].replace(" ", "")
+    return " ".join("".join(letters[k] for k in rng.integers(0, 8, rng.integers(2, 7))) for _ in range(n))
+
+
+def test_language_profiles_and_brute_force(spark):
+    rows = [(k * 100 + i, tongue(lang, k * 100 + i), lang, "s", 0) for k, lang in enumerate(LETTERS) for i in range(20)]
+    df = spark.createDataFrame(rows, DOCS)
+    found = {r["doc_id"]: r for r in langid.identify(df).collect()}
+    assert all(found[r[0]]["language"] == r[2] for r in rows)
+
+    def brute(text, length=langid.LENGTH):
+        t = " " + re.sub("[^a-z]+", " ", text) + " "
+        counts: dict = {}
+        for n in range(1, 6):
+            for i in range(len(t) - n + 1):
+                g = t[i : i + n]
+                if g != " " and " " not in g[1:-1] and not (n == 2 and g == "  "):
+                    counts[g] = counts.get(g, 0) + 1
+        return counts
+
+    def top(counts):
+        # ties by code: shorter grams and lower letters first
+        code = lambda g: sum(ord(c) << (12 * k) for k, c in enumerate(reversed(g)))
+        return sorted(counts, key=lambda g: (-counts[g], code(g)))[: langid.LENGTH]
+
+    profiles = {}
+    for lang in LETTERS:
+        total: dict = {}
+        for r in rows:
+            if r[2] == lang:
+                for g, n in brute(r[1]).items():
+                    total[g] = total.get(g, 0) + n
+        profiles[lang] = {g: k for k, g in enumerate(top(total))}
+    for r in rows[::7]:
+        mine = top(brute(r[1]))
+        far = {lang: sum(abs(p[g] - k) if g in p else langid.LENGTH for k, g in enumerate(mine)) / (langid.LENGTH * len(mine)) for lang, p in profiles.items()}
+        assert found[r[0]]["distance"] == pytest.approx(min(far.values()))
+
+
+def test_language_rejects_what_is_in_no_profile(spark):
+    df = spark.createDataFrame([(i, tongue("xx", i), "xx", "s", 0) for i in range(20)], DOCS)
+    p = langid.fit_profiles(df)
+    odd = docs_of(spark, [(1, "こんにちは世界。これは別の言語です"), (2, "12345 67"), (3, tongue("xx", 99))])
+    assert {r["doc_id"]: r["accepted"] for r in langid.identify(odd, p).collect()} == {1: False, 2: False, 3: True}
+    assert [r["doc_id"] for r in langid.keep_known_languages(odd, p).collect()] == [3]
+
+
+def test_language_edges(spark, awkward, empty):
+    got = [(r["doc_id"], r["language"], r["accepted"]) for r in langid.identify(awkward).collect()]
+    assert len(got) == awkward.count()
+    assert all(lang == "und" and not ok for i, lang, ok in got if i in (1, 2, 6))
+    assert all(ok for i, _, ok in got if i in (3, 4, 5, None))
+    kept = langid.keep_known_languages(awkward)
+    assert kept.columns == awkward.columns and kept.count() == sum(ok for _, _, ok in got)
+    assert langid.identify(empty).count() == 0 and langid.keep_known_languages(empty).count() == 0
+
+
+# --- near duplicates ---
+
+
+def shingle_set(t: str) -> set:
+    w = re.findall(r"\w+", t.lower())
+    return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+
+
+def groups(rows, threshold=neardup.THRESHOLD):
+    sets = {i: shingle_set(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    return {(i, find(i)) for i in sets if find(i) != i}
+
+
+def corrupted(seed: int, base: str, swaps: int) -> str:
+    rng = np.random.default_rng(seed)
+    w = base.split()
+    for k in rng.integers(0, len(w), swaps):
+        w[k] = f"new{rng.integers(1 << 30)}"
+    return " ".join(w)
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    rows, n = [], 0
+    for base in range(25):
+        text = prose(1000 + base, 120)
+        for copy in range(base % 6 + 1):
+            rows.append((n, text if copy == 1 else corrupted(n, text, 3 * copy)))
+            n += 1
+    got = {(r[0], r[1]) for r in neardup.near_duplicates(docs_of(spark, rows)).collect()}
+    want = groups(rows)
+    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want) and want
+
+
+def test_large_group_of_copies(spark):
+    rows = [(i, prose(7, 80)) for i in range(400)] + [(1000 + i, corrupted(i, prose(7, 80), 1)) for i in range(150)] + [(5000, prose(8, 80))]
+    got = {r[0]: r[1] for r in neardup.near_duplicates(docs_of(spark, rows)).collect()}
+    assert set(got.values()) == {0} and len(got) == 549
+    kept = neardup.drop_near_duplicates(docs_of(spark, rows))
+    assert {r["doc_id"] for r in kept.collect()} == {0, 5000}
+
+
+def test_bayes_prunes_only_what_is_unlikely():
+    rng = np.random.default_rng(5)
+    near = rng.integers(0, 256, (2000, 128), dtype=np.uint8)
+    like, unlike = near.copy(), near.copy()
+    flip = rng.random(near.shape)
+    like[flip < 0.4], unlike[flip < 0.9] = rng.integers(0, 256, (flip < 0.4).sum()), rng.integers(0, 256, (flip < 0.9).sum())
+    assert len(neardup.prune(near, like, 0.55)) >= 0.98 * 2000
+    assert len(neardup.prune(near, unlike, 0.55)) <= 2
+
+
+def test_near_duplicate_edges(spark, awkward, empty):
+    assert {(r[0], r[1]) for r in neardup.near_duplicates(awkward).collect()} == {(5, 4)}
+    kept = neardup.drop_near_duplicates(awkward)
+    assert kept.columns == awkward.columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 2, 3, 4, 4, 6, 7, None]
+    assert neardup.near_duplicates(empty).count() == 0 and neardup.drop_near_duplicates(empty).count() == 0
+    short = docs_of(spark, [(1, "one two"), (2, "One  two!"), (3, "one"), (4, "two one")])
+    assert {(r[0], r[1]) for r in neardup.near_duplicates(short).collect()} == {(2, 1)}
+
+
+# --- decontamination ---
+
+ITEM = "a farmer named Alice sells 12 apples for 3 dollars each at the market and then buys 5 kg of flour. how much money does she have left in the end of the day"
+
+
+def test_templates_catch_other_numbers_and_names(spark):
+    bench = spark.createDataFrame([(1, ITEM), (2, prose(50, 40))], "item_id long, text string")
+    other = ITEM.replace("Alice", "Robert").replace("12", "1,750").replace("3 dollars", "41 dollars").replace(" 5 ", " 9 ")
+    mixed = ITEM.replace("Alice", "Robert")
+    rows = [(1, f"{prose(1, 30)}. {ITEM} {prose(2, 30)}"), (2, other), (3, prose(3, 200)), (4, f"{prose(50, 40)} {prose(4, 10)}"), (5, mixed), (6, ITEM[:60])]
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontam.contaminated(docs_of(spark, rows), bench).collect()}
+    assert got == {(1, 1): "verbatim", (2, 1): "reparameterised", (4, 2): "verbatim", (5, 1): "reparameterised"}
+    assert {r["doc_id"] for r in decontam.drop_contaminated(docs_of(spark, rows), bench).collect()} == {3, 6}
+
+
+def test_inconsistent_slots_are_chance(spark):
+    item = "the price of Alpha is 10 and later the price of Alpha is 10 while the cost of it stays near 10 for long"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    fine = item.replace("Alpha", "Beta").replace("10", "77")
+    chance = "the price of Gamma is 4 and later the price of Delta is 5 while the cost of it stays near 6 for long"
+    got = {r["doc_id"] for r in decontam.contaminated(docs_of(spark, [(1, fine), (2, chance)]), bench).collect()}
+    assert got == {1}
+
+
+def test_verbatim_windows_against_brute_force(spark):
+    items = [(k, prose(300 + k, 30)) for k in range(8)]
+    rows = []
+    for i in range(40):
+        w = items[i % 8][1].split()
+        take = 30 * (i % 5) // 4
+        rows.append((i, prose(600 + i, 50) + " " + " ".join(w[:take]) + " " + prose(700 + i, 20)))
+
+    def windows(t):
+        w = t.split()
+        return {tuple(w[k : k + 8]) for k in range(len(w) - 7)}
+
+    want = {(i, k) for i, t in rows for k, item in items if len(windows(t) & windows(item)) >= math.ceil(len(windows(item)) * 0.5)}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r[0], r[1]) for r in decontam.contaminated(docs_of(spark, rows), bench).select("doc_id", "item_id").collect()} == want and want
+
+
+def test_decontamination_edges(spark, awkward, empty):
+    bench = spark.createDataFrame([(None, prose(2, 30), 1), (1, None, 1), (2, "", 1), (3, "12 7", 1), (4, prose(3, 40), 1), (4, prose(3, 40), 1), (5, "amber", 1)], "item_id long, text string, doc_id long")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(awkward, bench).collect()}
+    assert got == {(4, 4), (5, 4)}
+    kept = decontam.drop_contaminated(awkward, bench)
+    assert kept.columns == awkward.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 2, 3, 6, 7, None]
+    nothing = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(awkward, nothing).count() == 0
+
+
+# --- personal data ---
+
+
+def test_held_out_spans(model):
+    x, y = pii.Examples(seed=99).batch(600, 160)
+    tags = model.decode(x)
+    want = {(i, *s) for i in range(len(x)) for s in pii.spans_of(y[i], 0)}
+    got = {(i, *s) for i in range(len(x)) for s in pii.spans_of(tags[i], 0)}
+    assert len(want & got) / len(want) > 0.9 and len(want & got) / len(got) > 0.9
+
+
+def test_viterbi_finds_the_best_path(model):
+    x, _ = pii.Examples(seed=5).batch(3, 5)
+    em = model.emissions(x)[0] + pii._BARRED[x.T]
+    a = model.p["a"] + pii._FORBIDDEN
+    for row, tags in enumerate(model.decode(x)):
+
+        def value(path):
+            return em[0, row, path[0]] + pii._START[path[0]] + sum(a[p, q] + em[t + 1, row, q] for t, (p, q) in enumerate(zip(path, path[1:])))
+
+        # all paths over the seven likeliest tags of each place
+        likely = [np.argsort(-em[t, row])[:7] for t in range(5)]
+        assert value(tags.tolist()) >= max(map(value, itertools.product(*likely))) - 1e-3
+
+
+def test_gradients_agree_with_differences():
+    m = pii.Tagger(hidden=4, embed=3)
+    x, y = pii.Examples(seed=1).batch(3, 12)
+    _, g = m.gradients(x, y)
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    for k in ("v", "a", "uf", "wb", "e"):
+        i = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        m.p[k][i] += 1e-3
+        up = m.gradients(x, y)[0]
+        m.p[k][i] -= 2e-3
+        down = m.gradients(x, y)[0]
+        m.p[k][i] += 1e-3
+        assert (up - down) / 2e-3 == pytest.approx(g[k][i], rel=0.05, abs=1e-5)
+
+
+def test_redaction(spark, model):
+    clean = "Version 2.0. It was 1999, about 37% or 1,250 of 12/10/2001. " * 4
+    rows = [(1, f"{prose(1, 90)} write to jane.doe@mail3.example.com now. {prose(2, 90)} +1 (555) 555-0100 {prose(3, 5)}"), (2, clean), (3, f"host 10.20.30.40, {prose(4, 20)}")]
+    got = {r["doc_id"]: r for r in pii.redact(docs_of(spark, rows), model).collect()}
+    assert "[EMAIL]" in got[1]["text"] and "[PHONE]" in got[1]["text"] and "jane" not in got[1]["text"] and "0100" not in got[1]["text"]
+    assert got[2]["text"] == clean and "[IP]" in got[3]["text"]
+    for i, t in rows:
+        back = pii.masked(t, [(s["start"], s["end"], pii.KINDS.index(s["kind"])) for s in got[i]["spans"]])
+        assert back == got[i]["text"]
+
+
+def test_windows_cover_every_trigger():
+    rng = np.random.default_rng(3)
+    for n in (1, 79, 160, 161, 500, 3000):
+        t = "".join("5" if x < 0.02 else "a" for x in rng.random(n))
+        starts = pii.window_starts(t)
+        assert all(any(s <= i < s + pii.WINDOW for s in starts) for i, c in enumerate(t) if c == "5")
+
+
+def test_spans_at_window_borders(spark, model):
+    rows = [(k, "a " * k + "mail bob.smith@host.example.org today " + "b " * 100) for k in range(50, 130, 3)]
+    for r in pii.redact(docs_of(spark, rows), model).collect():
+        assert "bob" not in r["text"] and r["text"].count("[EMAIL]") == 1 and "today" in r["text"]
+
+
+def test_redaction_edges(spark, awkward, empty, model):
+    got = pii.redact(awkward, model)
+    assert got.count() == awkward.count() and {r["text"] for r in got.where("doc_id = 1 or doc_id = 2").collect()} == {None, ""}
+    full = pii.redacted_documents(awkward, model)
+    assert full.columns == awkward.columns and full.exceptAll(awkward).count() == 0
+    assert pii.redact(empty, model).count() == 0 and pii.redacted_documents(empty, model).count() == 0
+    d = pii.redacted_documents(docs_of(spark, [(1, "ask 10.20.30.40 now")]), model).first()
+    assert d["text"] == "ask [IP] now" and d["n_chars"] == len(d["text"])
+
+
+# --- mixing ---
+
+
+def test_permutation_is_one():
+    for n in (1, 2, 3, 17, 64, 1000):
+        assert sorted(mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 9)).tolist()) == list(range(n))
+
+
+def test_packing_is_a_round_trip(spark):
+    rows = [(i, prose(i, 5 + i * 3 % 70), "en", "ab"[i % 2], 0) for i in range(60)]
+    df = spark.createDataFrame(rows, DOCS)
+    blocks = mixing.packed(df, 64, 8).collect()
+    coder = bpe()
+    for s in "ab":
+        texts = sorted(t for _, t, _, x, _ in rows if x == s)
+        mine = [b for b in blocks if b["source"] == s]
+        assert sum(b["n_tokens"] for b in mine) == sum(len(coder.ids(t)) + 1 for t in texts)
+        assert sum(b["n_tokens"] < 64 for b in mine) <= 1
+        ids = {i for b in mine for i in b["doc_ids"]}
+        assert ids == {i for i, _, _, x, _ in rows if x == s}
+    assert all(len(b["tokens"]) == 2 * b["n_tokens"] for b in blocks)
+
+
+def test_tokens_match_the_plain_encoder():
+    coder = bpe()
+    for t in (prose(1, 50), "a  b", " lead", "tail ", "x\n\n y", "it's we're", "né à 12 34,5", "", "tab\t tab", "　 x"):
+        assert coder.ids(t).tolist() == coder.encoding.encode_ordinary(t)
+
+
+def test_mixture_against_brute_force(spark):
+    rows = [(i, prose(i, 40), "en", "abc"[min(2, i % 7)], 0) for i in range(150)]
+    df = spark.createDataFrame(rows, DOCS)
+    weights = {"a": 0.6, "b": 0.4}
+    m = mixing.mix(df, weights, block=32, shard_blocks=50).toPandas()
+    packed = mixing.packed(df, 32).toPandas()
+    size = packed[packed.source.isin(["a", "b"])].groupby("source").size()
+    total = len(packed)
+    assert len(m) == total and set(m.source) == {"a", "b"}
+    assert sorted(map(tuple, m[["shard", "slot"]].values.tolist())) == [(k // 50, k % 50) for k in range(total)]
+    for shard, part in m.groupby("shard"):
+        want = np.random.Generator(np.random.Philox(key=[7, shard])).multinomial(len(part), [0.6, 0.4])
+        assert [(part.source == s).sum() for s in "ab"] == want.tolist()
+    for s, part in m.groupby("source"):
+        uses = part.groupby("block").size()
+        assert uses.max() - (uses.min() if len(uses) == size[s] else 0) <= 1
+        assert len(part.drop_duplicates(["block", "epoch"])) == len(part)
+    mine = {bytes(t) for t in m.tokens}
+    assert mine <= {bytes(t) for t in packed.tokens}
+
+
+def test_mixing_edges(spark, awkward, empty):
+    p = mixing.packed(awkward, 64).toPandas()
+    assert set(p.source) == {"a", "b", "(none)"} and -1 in {i for ids in p.doc_ids for i in ids}
+    assert mixing.mix(awkward, block=64).count() == len(p)
+    assert mixing.mix(empty).count() == 0 and mixing.mix(awkward, {"nowhere": 1.0}).count() == 0
+    copies = p[p.source == "(none)"]
+    assert copies.n_tokens.sum() == 2 * (len(bpe().ids(prose(3, 40))) + 1)
