@@ -4,11 +4,13 @@ words, tokenizer loading and size-checked broadcasts."""
 from __future__ import annotations
 
 import base64
+import ctypes
 import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +63,35 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def _libc():
+    """The C library where it is one whose allocator can be tuned, else None."""
+    try:
+        lib = ctypes.CDLL(None)
+        return lib if hasattr(lib, "malloc_trim") and hasattr(lib, "mallopt") else None
+    except OSError:
+        return None
+
+
+def lean(f):
+    """f for mapInArrow, giving freed memory back after every batch, so that
+    Python workers that Spark keeps for later stages stay small."""
+
+    def run(batches):
+        lib = _libc()
+        if lib:
+            lib.mallopt(-3, 4 << 20)  # arrays of over 4 MB come from the system and go back to it
+        for out in f(batches):
+            yield out
+            del out
+            if lib:
+                lib.malloc_trim(0)
+        pa.default_memory_pool().release_unused()
+        if lib:
+            lib.malloc_trim(0)
+
+    return run
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser over unsigned integers."""
     x = x.astype(np.uint64)
@@ -88,7 +119,7 @@ class Bpe:
 
     unsafe = re.compile(r"\s (?:\s|\Z)")
 
-    def __init__(self, path: str = TOKENIZER, limit: int = 300_000):
+    def __init__(self, path: str = TOKENIZER, limit: int = 100_000):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("own", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={})

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, small, window_hashes
+from .common import cut, lean, mix64, small, window_hashes
 from .textarray import ALPHA, APOS, DIGIT, SEP, STOP, UPPER, classes, parts, points, run_hashes, word_hashes
 
 WIDTH, COVERAGE, ENOUGH = 8, 0.5, 20
@@ -178,7 +178,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     bits = np.bitwise_or.reduce([np.frombuffer(r["b"], np.uint8) for r in marks] or [np.zeros(size >> 3, np.uint8)])
     short = bench.mapInArrow(_lengths(width), "n int").distinct().collect()
     widths = tuple(sorted({r["n"] for r in short if r["n"]}))
-    hits = docs.mapInArrow(_doc_windows(widths, bits), _SCHEMA).select(F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"), "hash", F.col("slots").alias("doc_slots"))
+    hits = docs.mapInArrow(lean(_doc_windows(widths, bits)), _SCHEMA).select(F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"), "hash", F.col("slots").alias("doc_slots"))
     keys = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), "total")
     met = cut(hits.join(small(keys, n, 100_000), "hash").withColumn("shift", F.col("doc_pos") - F.col("item_pos")).drop("hash").distinct())
     place = ["doc_id", "item_id", "shift"]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, window_hashes
+from .common import lean, mix64, window_hashes
 from .textarray import DIGIT, LOWER, UPPER, WORD, classes, parts, points, run_hashes, word_hashes
 
 FEATURES = ("log_words", "word_length", "upper", "digits", "signs", "distinct", "top_word", "repeated_trigrams", "log_lines", "repeated_lines", "line_length", "stops", "bars", "exclamations")
@@ -190,7 +190,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> G
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
     # picked has about `rows` rows at any size of input, so it may be broadcast
-    got = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x array<double>").toArrow().to_pydict()
+    got = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").mapInArrow(lean(run), "doc_id long, quality int, x array<double>").toArrow().to_pydict()
     order = sorted(range(len(got["doc_id"])), key=lambda k: (got["doc_id"][k], got["x"][k]))
     x = np.array([got["x"][k] for k in order], float).reshape(-1, len(FEATURES))
     return Gam.fit(x, np.array([got["quality"][k] for k in order], float))
@@ -212,4 +212,4 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, model: Gam | None
             q = np.where(x[:, 0] > 0, model.predict(x), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(q), pa.array(q >= cut)], ["doc_id", "quality", "good"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, quality double, good boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, quality double, good boolean")

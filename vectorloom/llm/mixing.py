@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, END_OF_TEXT, TOKENIZER, bpe, cut, mix64, small, written
+from .common import BROADCAST_ROWS, END_OF_TEXT, TOKENIZER, bpe, cut, lean, mix64, small, written
 
 BLOCK, SHARD, CHUNK_DOCS, ALPHA = 2048, 1024, 256, 0.7
 
@@ -94,7 +94,7 @@ def packed(docs: DataFrame, block: int = BLOCK, chunk_docs: int = CHUNK_DOCS, to
             ids, lengths, tokens = [i for i, _ in rows], [len(p) for p in parts], np.concatenate(parts)
             yield _emit(source, chunk, ids, lengths, tokens, block, False)
 
-    blocks = written(docs.mapInArrow(pack, _BLOCKS), "blocks")
+    blocks = written(docs.mapInArrow(lean(pack), _BLOCKS), "blocks")
     rests = blocks.where(F.col("n_tokens") < block).select("source", "chunk", "doc_ids", "tokens").repartition("source").sortWithinPartitions("source", "chunk")
 
     def rest(batches):

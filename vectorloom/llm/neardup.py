@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small, window_hashes
+from .common import cut, lean, small, window_hashes
 from .textarray import parts, word_hashes
 
 HASHES, ROWS, SHINGLE, THRESHOLD, BATCH, MISS = 128, 4, 3, 0.55, 16, 0.01
@@ -181,11 +181,11 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, threshold: f
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             yield batch.select(["a", "b"]).filter(pa.array([jaccard(x, y) >= threshold for x, y in zip(a, b)], pa.bool_()))
 
-    alive = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "frag_a", "frag_b").mapInArrow(bayes, "a long, b long"))
+    alive = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "frag_a", "frag_b").mapInArrow(lean(bayes), "a long, b long"))
     used = alive.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(docs.join(small(used, 2 * alive.count()), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "doc_id long, words binary"))
+    sets = cut(docs.join(small(used, 2 * alive.count()), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(lean(_sets), "doc_id long, words binary"))
     one, two = (sets.select(F.col("doc_id").alias(k), F.col("words").alias(f"words_{k}")) for k in "ab")
-    return cut(alive.join(one, "a").join(two, "b").select("a", "b", "words_a", "words_b").mapInArrow(exact, "a long, b long").distinct())
+    return cut(alive.join(one, "a").join(two, "b").select("a", "b", "words_a", "words_b").mapInArrow(lean(exact), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float =
     three words is one shingle. Other columns are ignored. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    signed = docs.mapInArrow(_sign, "doc_id long, same binary, frag binary, bands array<long>")
+    signed = docs.mapInArrow(lean(_sign), "doc_id long, same binary, frag binary, bands array<long>")
     signed = cut(signed.withColumn("rep", F.min("doc_id").over(Window.partitionBy("same"))))
     copies = signed.where("rep < doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     signed = signed.where("rep = doc_id").drop("rep", "same").dropDuplicates(["doc_id", "frag"])

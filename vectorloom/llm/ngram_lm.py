@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import local, shared_path
+from .common import lean, local, shared_path
 from .eliasfano import EliasFano, map_arrays, nested, unnested, write_arrays
 from .textarray import parts, word_hashes
 
@@ -212,7 +212,7 @@ def _vocabulary(texts: DataFrame, size: int, least: int) -> tuple[np.ndarray, np
 
     spark = texts.sparkSession
     path = shared_path(spark, "words")
-    texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).write.parquet(path)
+    texts.mapInArrow(lean(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).write.parquet(path)
     words = spark.read.parquet(path)
     sizes = sorted(((r["n"], r["count"]) for r in words.groupBy("n").count().collect()), reverse=True)
     kept, cutoff = 0, None
@@ -284,7 +284,7 @@ def train(docs: DataFrame, vocabulary: int = VOCABULARY, least_word: int = LEAST
         stats = [u] + [np.add.reduceat(x, first) for x in (c2, np.where(keep2, c2, 0), keep2.astype(np.int64))] if len(u) else [u] * 4
         return pa.table([pa.array([k] * len(u), pa.int32()), *(pa.array(x.astype(np.int64)) for x in stats)], ["shard", "u", "total", "kept", "types"])
 
-    merged = texts.mapInArrow(count, "shard int, n int, grams binary").groupBy("shard").applyInArrow(merge, "shard int, u long, total long, kept long, types long")
+    merged = texts.mapInArrow(lean(count), "shard int, n int, grams binary").groupBy("shard").applyInArrow(merge, "shard int, u long, total long, kept long, types long")
     stats = merged.toArrow()
     u, shard = stats.column("u").to_numpy(), stats.column("shard").to_numpy()
     sums = {k: np.bincount(u, stats.column(k).to_numpy(), len(counts)) for k in ("total", "kept", "types")}
@@ -383,4 +383,4 @@ def score(docs: DataFrame, folder: str | None = None, **settings) -> DataFrame:
                     [batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(np.where(n > 0, total, 0.0)), pa.array(perplexity, mask=n == 0)], ["doc_id", "n_words", "log10_prob", "perplexity"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, log10_prob double, perplexity double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n_words long, log10_prob double, perplexity double")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SECRET")
 WINDOW, STEP, HIDDEN, EMBED, STEPS, SEQUENCES = 160, 80, 32, 16, 600, 12000
 _ASCII = {c: i + 1 for i, c in enumerate(string.printable)}
@@ -421,7 +423,7 @@ def redact(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
                     [part.column(0), pa.array(new, pa.string()), pa.array([[{"start": s, "end": e, "kind": KINDS[k]} for s, e, k in x] for x in spans], _SPANS)], ["doc_id", "text", "spans"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string, spans array<struct<start:int,end:int,kind:string>>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, text string, spans array<struct<start:int,end:int,kind:string>>")
 
 
 def redacted_documents(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
@@ -443,4 +445,4 @@ def redacted_documents(docs: DataFrame, model: Tagger | None = None) -> DataFram
                     cols["n_chars"] = pa.array([len(t) if s else n for t, s, n in zip(new, spans, cols["n_chars"].to_pylist())], cols["n_chars"].type)
                 yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

@@ -11,7 +11,7 @@ from .common import mix64
 
 WORD, ALPHA, DIGIT, UPPER, LOWER, STOP, SEP, APOS = (1 << k for k in range(8))
 #: Characters handled at once; longer batches go in several parts, cut between texts.
-PART = 4_000_000
+PART = 500_000
 
 
 @lru_cache(1)
@@ -34,7 +34,7 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64; extended on demand by :func:`powers`."""
     p = np.uint64(0xD6E8FEB86659FD93)
     q = np.uint64(pow(int(p), -1, 1 << 64))
-    n = 1 << 22
+    n = 1 << 20
     out = []
     for x in (p, q):
         a = np.ones(n, np.uint64)
