@@ -6,9 +6,10 @@ import re
 
 import numpy as np
 import pytest
+import tiktoken
 
 from vectorloom.llm import decontam, langid, mixing, neardup, pii
-from vectorloom.llm.common import bpe
+from vectorloom.llm.common import Bpe, bpe
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "amber birch cobalt dune ember fjord grove harbor inlet juniper kelp lagoon meadow nectar orchid pebble quartz ridge sedge tundra umber valley willow yarrow zephyr".split()
@@ -332,6 +333,19 @@ def test_tokens_match_the_plain_encoder():
     coder = bpe()
     for t in (prose(1, 50), "a  b", " lead", "tail ", "x\n\n y", "it's we're", "né à 12 34,5", "", "tab\t tab", "　 x"):
         assert coder.ids(t).tolist() == coder.encoding.encode_ordinary(t)
+    plain = tiktoken.Encoding("plain", pat_str=r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", mergeable_ranks=coder.encoding._mergeable_ranks, special_tokens={})
+    short = Bpe(long_run=2)
+    rng = np.random.default_rng(1)
+    for _ in range(400):
+        t = "".join(rng.choice(list("ab1'!é \n\t\u00a0\u3000\x1c"), 30))
+        assert short.ids(t).tolist() == coder.ids(t).tolist() == plain.encode_ordinary(t)
+
+
+@pytest.mark.parametrize("run", [" ", "\n", " \n", "\u3000", "x", "12", "!"])
+def test_long_runs_have_tokens(run):
+    t = "a" + run * 300_000 + "b"
+    got = bpe().ids(t)
+    assert bpe().encoding.decode(got.tolist()) == t
 
 
 def test_mixture_against_brute_force(spark):

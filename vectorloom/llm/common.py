@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END_OF_TEXT = 50256
-_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+_SPACE = "[\\t-\\r \\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -112,39 +113,26 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class Bpe:
-    """Byte-pair tokens of a public vocabulary, with remembered pieces.
+    """Byte-pair tokens of a public vocabulary.
 
-    A text is cut before each space that can't lie inside a longer run of
-    white space; such pieces have the same tokens alone as in the text."""
+    The pattern that cuts texts into pieces backtracks over white space, for
+    which long runs leave it no stack. Such a run is one piece, but for its last
+    character if text follows, so it is cut out beforehand; the tokens are the same."""
 
-    unsafe = re.compile(r"\s (?:\s|\Z)")
-
-    def __init__(self, path: str = TOKENIZER, limit: int = 100_000):
+    def __init__(self, path: str = TOKENIZER, long_run: int = 10_000):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("own", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
-        self.limit = limit
+        self.runs = re.compile(_SPACE + "{%d,}" % long_run)
 
     def ids(self, text: str) -> np.ndarray:
         """Tokens of the whole text as uint16 (the vocabulary has 50,256)."""
-        if not text:
-            return np.zeros(0, np.uint16)
-        if self.unsafe.search(text):
-            return np.array(self.encoding.encode_ordinary(text), np.uint16)
-        first, *rest = text.split(" ")
-        known, out = self.known, [self._one(first)] if first else []
-        for piece in rest:
-            b = known.get(piece)
-            if b is None:
-                b = self._one(" " + piece)
-                if len(known) < self.limit:
-                    known[piece] = b
-            out.append(b)
-        return np.frombuffer(b"".join(out), np.uint16)
-
-    def _one(self, piece: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(piece), np.uint16).tobytes()
+        out, at, encode = [], 0, self.encoding.encode_ordinary
+        for m in self.runs.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            out += encode(text[at : m.start()]) + self.encoding._encode_single_piece(text[m.start() : end])
+            at = end
+        return np.array(out + encode(text[at:]) if out else encode(text), np.uint16)
 
 
 _bpe: dict[str, Bpe] = {}
