@@ -66,9 +66,9 @@ def test_graphs_run(table, tmp_path, kind):
 
 def test_text_reader_rules(spark, tmp_path):
     p = tmp_path / "v.txt"
-    p.write_text("3 4\ncat 0.1 0.2 0.3 0.4\ndog 0.5 0.6 0.7 0.8\nfish 0.9 0.0 0.1 0.2\n")
+    p.write_text("3 4\ncat .1 .2 3 4\ndog 5 -.6 .7 8e-1\nfish .9 0 1 2\n")
     got = rows(formats.read_word2vec_text(spark, str(p)))
-    assert len(got) == 3 and "elephant" not in got and got["dog"] == pytest.approx([0.5, 0.6, 0.7, 0.8])
+    assert len(got) == 3 and "elephant" not in got and got["dog"] == pytest.approx([5, -0.6, 0.7, 0.8])
     p.write_text("9 2\ncat 1 2\ncat 3 4\n")
     assert rows(formats.read_word2vec_text(spark, str(p))) == {"cat": [3.0, 4.0]}
     for bad in ("cat 1 2\n", "1 2\ncat 1\n", "1 2\ncat 1 x\n", "1 2\n\ncat 1 2\n"):
@@ -97,7 +97,7 @@ def test_files_of_text(spark, tmp_path):
 
 def test_command_line(spark, tmp_path, capsys):
     src = tmp_path / "in.txt"
-    src.write_text("the cat sat on the mat. the dog sat on the log. the cat chased the dog. " * 3)
+    src.write_text("the cat slept by the mat. the dog slept by the log. the cat fled the dog. " * 3)
     m, e = f"{tmp_path}/model", f"{tmp_path}/e.tsv"
     cli.main(["train", "-i", str(src), "-o", m, "-e", e, "-d", "8", "--epochs", "2", "--validation-ratio", "0.2", "--validation-output", f"{tmp_path}/v.json"])
     assert set(json.loads((tmp_path / "v.json").read_text())) >= {"accuracy", "f1_score"} and len(open(e).readlines()) == 8

@@ -37,7 +37,7 @@ def test_scalar_functions(spark):
     a, b, z = arr(1, 2, 3), arr(4, 5, 6), arr(0, 0, 0)
     assert one(spark, vector.dot(a, b), vector.add_scaled(a, b, 2.0), vector.subtract(b, a)) == (32.0, [9.0, 12.0, 15.0], [3.0, 3.0, 3.0])
     assert one(spark, vector.cosine(a, z), vector.cosine_or_zero(a, z), vector.cosine_distance(a, z), vector.cosine_or_zero(a, arr(1))) == (None, 0.0, 1.0, 0.0)
-    assert one(spark, vector.interpolate(a, b, 0.25), vector.normalized(z), vector.concatenate(a, b)) == ([3.25, 4.25, 5.25], [0.0] * 3, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0])
+    assert one(spark, vector.interpolate(a, b, 0.25), vector.normalized(z), vector.concatenate(a, b)) == ([3.25, 4.25, 5.25], [0.0] * 3, [float(x) for x in range(1, 7)])
     assert one(spark, vector.weighted_average(a, b, 0.5), vector.weighted_average(a, arr(1), 0.5)) == ([2.5, 3.5, 4.5], None)
     c = 32 / math.sqrt(14 * 77)
     w = 0.5 + 0.5 * math.tanh(c)
