@@ -45,7 +45,7 @@ def encode(text: str) -> np.ndarray:
     return np.where(c < len(_TABLE), _TABLE[np.minimum(c, len(_TABLE) - 1)], _code("あ"))
 
 
-# --- labelled spans for training -------------------------------------------------
+# --- labelled spans for training ---
 
 
 class Examples:
@@ -150,7 +150,7 @@ class Examples:
         return x, y
 
 
-# --- the network -----------------------------------------------------------------
+# --- the network ---
 
 
 def _sigmoid(x):
@@ -330,7 +330,7 @@ def trained(sequences: int = SEQUENCES, steps: int = STEPS) -> Tagger:
     return Tagger().fit(x, y, steps)
 
 
-# --- documents -------------------------------------------------------------------
+# --- documents ---
 
 
 def window_starts(text: str, window: int = WINDOW, step: int = STEP) -> list[int]:
