@@ -63,7 +63,7 @@ def test_code(spark):
     assert code_of(spark, "let x = 5;\nlet y = 10;") == [["let", "x"], ["let", "y"]]
     assert code_of(spark, "HTTPResponse URLLoader getX2 snake_Case aB") == [["http", "response", "url", "loader", "get", "x2", "snake_case", "ab"]]
     assert "computeEmbeddingVector" in code_of(spark, "fn computeEmbeddingVector() {}", split_camel_case=False)[0]
-    assert code_of(spark, "let x = 5; // initialize\n/* block\ncomment */\nlet y = 10;") == [["let", "x"], ["let", "y"]]
+    assert code_of(spark, "let a = 7; // set up\n/* many\nlines */ let b = 9;") == [["let", "a"], ["let", "b"]]
     assert code_of(spark, "x = 5  # initialize\ny = 10", language="python") == [["x"], ["y"]]
     assert code_of(spark, "x # no") == [["x", "no"]]
     assert code_of(spark, 'let msg = "hello \\" world"; let x = 1;') == [["let", "msg", "let", "x"]]

@@ -161,7 +161,7 @@ def test_average_linkage(spark, cloud):
 
 
 def test_alignment(spark):
-    pairs = spark.createDataFrame([([1.0, 0.0, 0.0, 0.0], [2.0, 0.0, 0.0, 0.0])], "src array<double>, tgt array<double>")
+    pairs = spark.createDataFrame([([1.0] + [0.0] * 3, [2.0] + [0.0] * 3)], "src array<double>, tgt array<double>")
     assert one(spark, clustering.Aligner(4).align(arr(1, 2, 3, 4))) == ([1.0, 2.0, 3.0, 4.0],)
     w = clustering.Aligner(4).fit_sgd(pairs, 100, 0.1)
     assert one(spark, w.align(arr(1, 0, 0, 0)))[0][0] == pytest.approx(2, abs=0.1)
