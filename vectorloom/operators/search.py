@@ -130,9 +130,9 @@ def knn(vectors: DataFrame, k: int = 10, id_col: str = "word_id", vec: str = "ve
                     i, j = np.nonzero((s >= least[:, None] - 1e-12) & (s > -np.inf))
                     yield pa.RecordBatch.from_arrays([pa.array(qi[at + i]), pa.array(di[j]), pa.array(s[i, j])], ["q", "d", "s"])
 
-    spread = min(2048, n * n)
-    both = left.repartition(max(1, min(n, 512))).crossJoin(right)
-    both = both.repartition(spread) if n > 1 else both
+    # every two partitions are one task; the product itself is never shuffled
+    parts = min(n, 64)
+    both = left.repartition(parts).crossJoin(right.repartition(parts))
     met = both.mapInArrow(meet, "q long, d long, s double")
     w = Window.partitionBy("q").orderBy(F.desc("s"), "d")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(id_col), F.col("d").alias("neighbor"), F.col("s").alias("similarity"), "rank")
