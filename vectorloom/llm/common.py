@@ -73,14 +73,15 @@ def _libc():
         return None
 
 
-def lean(f):
+def lean(f, over: int = 4 << 20):
     """f for mapInArrow, giving freed memory back after every batch, so that
-    Python workers that Spark keeps for later stages stay small."""
+    Python workers that Spark keeps for later stages stay small. Arrays of
+    more than `over` bytes are given back at once, which costs some time."""
 
     def run(batches):
         lib = _libc()
         if lib:
-            lib.mallopt(-3, 4 << 20)  # arrays of over 4 MB come from the system and go back to it
+            lib.mallopt(-3, over)  # larger arrays come from the system and go back to it
         for out in f(batches):
             yield out
             del out

@@ -79,10 +79,15 @@ class EliasFano:
             return out
         todo = np.flatnonzero(inside)
         h = h[todo]
-        end = _select(self.high, self.zeros, h, False) - h
-        at = np.zeros(len(h), np.int64)
+        bit = np.zeros(len(h), np.int64)
         later = h > 0
-        at[later] = _select(self.high, self.zeros, h[later] - 1, False) - (h[later] - 1)
+        bit[later] = _select(self.high, self.zeros, h[later] - 1, False) + 1
+        at = bit - h
+        # the bucket ends at the next unset bit, most often in the same word
+        w = ~self.high[bit >> 6] >> (bit & 63).astype(np.uint64)
+        end = at + np.bitwise_count((w & (~w + _U(1))) - _U(1))
+        far = w == 0
+        end[far] = _select(self.high, self.zeros, h[far], False) - h[far]
         want = x[todo].astype(np.uint64) & self.mask
         lo, hi, open_ = at, end.copy(), np.flatnonzero(at < end)
         while len(open_):

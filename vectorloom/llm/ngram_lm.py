@@ -30,8 +30,8 @@ BITS, UNKNOWN, START, WORDS = 20, 0, 1, 2
 VOCABULARY = (1 << BITS) - WORDS
 LEAST_WORD, LEAST_BIGRAM, LEAST_TRIGRAM, DISCOUNT, SHARD_TOKENS = 2, 2, 2, 0.75, 4_000_000
 _LOW = np.int64((1 << BITS) - 1)
-#: Characters counted or scored at once: the more, the fewer times an n-gram is shuffled or looked up.
-PART = 2_000_000
+#: Characters counted and scored at once: the more, the fewer times an n-gram is shuffled or looked up and a shard visited.
+PART, SCORED = 2_000_000, 4_000_000
 
 
 def word_ids(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -103,13 +103,17 @@ def _relative(values: np.ndarray, pointers: np.ndarray) -> np.ndarray:
     return values + np.repeat(base, n)
 
 
-def _in_group(seq: EliasFano, lo: np.ndarray, hi: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Where each value lies in its group lo:hi of the sequence, or -1."""
+def _in_group(seq: EliasFano, pointers: EliasFano, group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value lies in its group of the sequence, or -1, and where
+    the group begins. A group that is asked several times in a row is opened once."""
+    fresh = np.concatenate([[True], group[1:] != group[:-1]])
+    groups, of = group[fresh], np.cumsum(fresh) - 1
+    lo, hi = pointers[groups], pointers[groups + 1]
     base = np.zeros(len(lo), np.int64)
     later = lo > 0
     base[later] = seq[lo[later] - 1] + 1
-    at = seq.find(base + value)
-    return np.where((at >= lo) & (at < hi), at, -1)
+    at, first = seq.find(base[of] + value), lo[of]
+    return np.where((at >= first) & (at < hi[of]), at, -1), first
 
 
 class Model:
@@ -143,8 +147,9 @@ class Model:
             g = u[i] - first
             inside = g < seqs["p2"].n - 1
             i, g = i[inside], g[inside]
-            lo, hi = seqs["p2"][g], seqs["p2"][g + 1]
-            at = _in_group(seqs["v2"], lo, hi, v[i])
+            if not len(i):
+                continue
+            at, lo = _in_group(seqs["v2"], seqs["p2"], g, v[i])
             hit = at >= 0
             i, at, lo, g = i[hit], at[hit], lo[hit], g[hit]
             out["at"][i], out["rank"][i] = at, at - lo + np.where(g == 0, carry, 0)
@@ -156,8 +161,7 @@ class Model:
         whose last word has `rank` after the second; NaN where there is none."""
         out = np.full(len(u), np.nan)
         for (_, _, seqs, a), i in self._by_shard((u << BITS) + v):
-            lo, hi = seqs["p3"][at[i]], seqs["p3"][at[i] + 1]
-            k = _in_group(seqs["v3"], lo, hi, rank[i])
+            k, _ = _in_group(seqs["v3"], seqs["p3"], at[i], rank[i])
             out[i[k >= 0]] = a["book3"][a["code3"][k[k >= 0]]]
         return out
 
@@ -212,7 +216,7 @@ def _vocabulary(texts: DataFrame, size: int, least: int) -> tuple[np.ndarray, np
 
     spark = texts.sparkSession
     path = shared_path(spark, "words")
-    texts.mapInArrow(lean(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).write.parquet(path)
+    texts.mapInArrow(lean(count, 16 << 20), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).write.parquet(path)
     words = spark.read.parquet(path)
     sizes = sorted(((r["n"], r["count"]) for r in words.groupBy("n").count().collect()), reverse=True)
     kept, cutoff = 0, None
@@ -284,7 +288,7 @@ def train(docs: DataFrame, vocabulary: int = VOCABULARY, least_word: int = LEAST
         stats = [u] + [np.add.reduceat(x, first) for x in (c2, np.where(keep2, c2, 0), keep2.astype(np.int64))] if len(u) else [u] * 4
         return pa.table([pa.array([k] * len(u), pa.int32()), *(pa.array(x.astype(np.int64)) for x in stats)], ["shard", "u", "total", "kept", "types"])
 
-    merged = texts.mapInArrow(lean(count), "shard int, n int, grams binary").groupBy("shard").applyInArrow(merge, "shard int, u long, total long, kept long, types long")
+    merged = texts.mapInArrow(lean(count, 16 << 20), "shard int, n int, grams binary").groupBy("shard").applyInArrow(merge, "shard int, u long, total long, kept long, types long")
     stats = merged.toArrow()
     u, shard = stats.column("u").to_numpy(), stats.column("shard").to_numpy()
     sums = {k: np.bincount(u, stats.column(k).to_numpy(), len(counts)) for k in ("total", "kept", "types")}
@@ -371,7 +375,7 @@ def score(docs: DataFrame, folder: str | None = None, **settings) -> DataFrame:
         model = opened(folder)
         for batch in batches:
             found = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in parts(found, PART):
+            for a, b in parts(found, SCORED):
                 h, at = word_hashes(found[a:b])
                 ids, place = with_starts(word_ids(h, model.vocabulary), at)
                 p = np.concatenate([[0], np.cumsum(model.log10(ids, place))])
@@ -383,4 +387,4 @@ def score(docs: DataFrame, folder: str | None = None, **settings) -> DataFrame:
                     [batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(np.where(n > 0, total, 0.0)), pa.array(perplexity, mask=n == 0)], ["doc_id", "n_words", "log10_prob", "perplexity"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n_words long, log10_prob double, perplexity double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run, 16 << 20), "doc_id long, n_words long, log10_prob double, perplexity double")
