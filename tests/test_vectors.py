@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from vectorloom import queries
 from vectorloom.functions import vector
 from vectorloom.operators import ann, clustering, evaluation, quantize, search, transfer, transformer
 
@@ -117,6 +118,16 @@ def test_hyperplanes(cloud):
     assert index.query(df, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_registered_hyperplanes_find_the_nearest(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    rows = queries.emb(spark, folder).orderBy("vec_id").collect()
+    ids = [r["vec_id"] for r in rows]
+    want = {(ids[a], ids[b]) for a, b in exact(np.array([r["vec"] for r in rows], float), 10)}
+    got = {(r["query"], r["neighbor"]) for r in queries.QUERIES["lsh_topk_wide"](spark, folder).collect()}
+    assert got and len(got & want) >= 0.9 * len(want)
+
+
 @pytest.mark.parametrize("shards", [1, 4])
 def test_graph_recall(cloud, shards):
     x, df = cloud
