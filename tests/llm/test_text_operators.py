@@ -204,6 +204,22 @@ def test_inconsistent_slots_are_chance(spark):
     assert got == {1}
 
 
+def test_clashing_fillings_and_inserted_words_keep_the_pair(spark):
+    apples = "a girl named Alice has 5 apples and 5 pears in the basket and then she gives 4 of them to the boy next door. how many are left for her"
+    road = "the road from the village to the lake is 12 km long and the way back over the hill is 15 km long so how far is it in all"
+    bench = spark.createDataFrame([(1, apples), (2, road), (3, ITEM)], "item_id long, text string")
+    rows = [
+        (1, apples.replace("5 apples", "3 apples").replace("5 pears", "7 pears")), (2, apples.replace("5 ", "9 ").replace("4 of", "9 of")), (3, road.replace("15 km", "15 miles")),
+        (4, f"{ITEM.replace('12', '5')} {prose(1, 30)}"), (5, ITEM.replace("then buys", "then also soon buys").replace("12", "21")), (6, prose(3, 60)),
+    ]
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontam.contaminated(docs_of(spark, rows), bench).collect()}
+    assert got == {(i, k): "reparameterised" for i, k in ((1, 1), (2, 1), (3, 2), (4, 3), (5, 3))}
+    w = prose(77, 30).split()  # each half has 8 of 23 windows, less than half
+    halves = " ".join([*w[:15], "more", *w[15:]])
+    found = decontam.contaminated(docs_of(spark, [(1, halves)]), spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")).first()
+    assert found["windows"] == 16 and found["kind"] == "verbatim"
+
+
 def test_verbatim_windows_against_brute_force(spark):
     items = [(k, prose(300 + k, 30)) for k in range(8)]
     rows = []

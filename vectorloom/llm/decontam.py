@@ -1,13 +1,15 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders. Windows of such templates
-are hash-joined between documents and benchmark items; the values that fill
-the placeholders must then map one to one, so that a question with other
+are hash-joined between documents and benchmark items; what an item repeats
+must then mostly be repeated in the document too, so that a question with other
 numbers or names is found and a chance mixture isn't.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -97,8 +99,8 @@ class Templates:
         return good, h[good] + np.uint64(width)
 
     def slots(self, at: int, width: int) -> list[str]:
-        """What fills the placeholders of a window, each with its kind."""
-        return [f"{_KINDS[self.kind[k]]}={self.text[self.starts[k] : self.ends[k]].lower()}" for k in range(at, at + width) if self.kind[k] in _KINDS]
+        """What fills the placeholders of a window, each with its place in the window and its kind."""
+        return [f"{k - at} {_KINDS[self.kind[k]]}={self.text[self.starts[k] : self.ends[k]].lower()}" for k in range(at, at + width) if self.kind[k] in _KINDS]
 
 
 _SCHEMA = "id long, pos int, hash long, slots array<string>, total int"
@@ -153,10 +155,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
 
     An item's template windows have `width` places, at least half of them
     words; an item with fewer places is one window, and one of placeholders
-    alone can't be matched. A document is named if windows at one offset cover
-    a share `coverage` of the item's windows, or `enough` windows, and if the
-    fillings at that offset map one to one. `kind` is "verbatim" if all fillings agree and
-    "reparameterised" if not. Rows with a null id or text take no part; equal rows
+    alone can't be matched. A document is named if its windows, at whatever offsets, cover
+    a share `coverage` of the item's windows, or those at one offset `enough` windows. Windows with
+    other fillings count as :func:`_counted` says. `kind` is "verbatim" if every covered window is there with
+    equal fillings and "reparameterised" if not. Rows with a null id or text take no part; equal rows
     count once; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -181,17 +183,54 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     hits = docs.mapInArrow(lean(_doc_windows(widths, bits)), _SCHEMA).select(F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"), "hash", F.col("slots").alias("doc_slots"))
     keys = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), "total")
     met = cut(hits.join(small(keys, n, 100_000), "hash").withColumn("shift", F.col("doc_pos") - F.col("item_pos")).drop("hash").distinct())
-    place = ["doc_id", "item_id", "shift"]
-    found = met.groupBy(*place, "total").agg(F.countDistinct("item_pos").alias("windows")).where((F.col("windows") >= F.ceil(F.col("total") * coverage)) | (F.col("windows") >= enough))
-    fill = met.select(*place, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("f")).select(*place, F.col("f.item_slots").alias("x"), F.col("f.doc_slots").alias("y")).distinct()
-    fill = fill.groupBy(*place).agg(F.count("*").alias("both"), F.countDistinct("x").alias("xs"), F.countDistinct("y").alias("ys"), F.max((F.col("x") != F.col("y")).cast("int")).alias("other"))
-    out = found.join(fill, place, "left").where("both is null or (both = xs and both = ys)")
-    out = out.groupBy("doc_id", "item_id").agg(
-        F.max("windows").cast("int").alias("windows"),
-        F.max(F.col("windows") / F.col("total")).alias("coverage"),
-        F.when(F.min(F.coalesce("other", F.lit(0))) == 0, "verbatim").otherwise("reparameterised").alias("kind"),
-    )
-    return out
+    pair, needed = ["doc_id", "item_id"], F.ceil(F.col("total") * coverage)
+    likely = met.groupBy(*pair, "total").agg(F.countDistinct("item_pos").alias("windows")).where((F.col("windows") >= needed) | (F.col("windows") >= enough)).select(*pair).distinct()
+    return met.join(likely, pair, "left_semi").groupBy(*pair).applyInArrow(_judge(coverage, enough), _FOUND)
+
+
+def _counted(places: list[tuple[int, list[str], list[str]]]) -> list[tuple[int, bool]]:
+    """(item_pos, verbatim) of the windows (item_pos, item_slots, doc_slots) at one offset
+    that count. Those whose fillings are all equal do. The others do if at least half of the slots whose
+    filling the item repeats are filled by what most of its repetitions are filled by; if fewer
+    are, only windows without a slot that departs from that do."""
+    slots: dict[int, tuple[str, str]] = {}
+    for p, xs, ys in places:
+        for x, y in zip(xs, ys):
+            (at, x), y = x.split(" ", 1), y.split(" ", 1)[1]
+            slots[p + int(at)] = x, y
+    votes: dict[str, Counter] = {}
+    for x, y in slots.values():
+        votes.setdefault(x, Counter())[y] += 1
+    usual = {x: min(v, key=lambda y: (-v[y], y)) for x, v in votes.items()}
+    repeated = sum(n for v in votes.values() if (n := v.total()) > 1)
+    agreed = sum(v[usual[x]] for x, v in votes.items() if v.total() > 1)
+    bad = set() if 2 * agreed >= repeated else {p for p, (x, y) in slots.items() if usual[x] != y}
+    return [(p, xs == ys) for p, xs, ys in places if xs == ys or not any(p + int(x.split(" ", 1)[0]) in bad for x in xs)]
+
+
+_FOUND = "doc_id long, item_id long, windows int, coverage double, kind string"
+
+
+def _judge(coverage: float, enough: int):
+    """For all windows that a document and an item share: whether they are a copy."""
+
+    def run(t: pa.Table) -> pa.Table:
+        offsets: dict[tuple[int, int], list] = {}
+        for total, shift, p, x, y in zip(*[t.column(c).to_pylist() for c in ("total", "shift", "item_pos", "item_slots", "doc_slots")]):
+            offsets.setdefault((total, shift), []).append((p, x, y))
+        covered: dict[int, dict[int, bool]] = {}
+        most: Counter = Counter()
+        for (total, _), places in offsets.items():
+            counted = _counted(places)
+            most[total] = max(most[total], len({p for p, _ in counted}))
+            for p, same in counted:
+                covered.setdefault(total, {})[p] = covered.get(total, {}).get(p, False) or same
+        out = [(len(c), len(c) / n, all(c.values())) for n, c in covered.items() if len(c) >= math.ceil(n * coverage) or most[n] >= enough]
+        rows = [(t.column("doc_id")[0].as_py(), t.column("item_id")[0].as_py(), max(w for w, _, _ in out), max(c for _, c, _ in out), "verbatim" if any(v for *_, v in out) else "reparameterised")] if out else []
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.string())
+        return pa.table([pa.array([r[k] for r in rows], x) for k, x in enumerate(types)], names=[c.split()[0] for c in _FOUND.split(", ")])
+
+    return run
 
 
 def _lengths(width: int):
