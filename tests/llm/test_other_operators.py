@@ -5,10 +5,12 @@ import gzip
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
 from vectorloom.llm import chat_windows, eliasfano, gam, knn_join, ngram_lm, warc
+from vectorloom.llm import queries as llm
 from vectorloom.llm.common import bpe, local, shared_path
 
 from .test_text_operators import prose
@@ -151,6 +153,19 @@ def test_pages_edges(spark):
     assert warc.resolve_pages(pages.limit(0)).count() == 0
 
 
+def test_pages_that_share_an_id_against_the_sql(spark, tmp_path):
+    rows = [(1, "http://a", "x"), (2, "http://b", "y"), (2, "http://b", "z"), (3, "http://c", "y"), (3, "http://c", "w"), (None, None, "x"), (None, None, "v"), (None, None, None), (4, None, "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    names = ["record", "new_type", "target_uri", "warc_date", "digest", "original", "block_length"]
+    folder = shared_path(spark, "warc")
+    got = warc.resolve_pages(pages, folder).select(*names).collect()
+    want = duckdb.sql(f"WITH pages AS (SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')), q AS ({llm.SQL['op4_warc_revisits']}) SELECT {', '.join(names)} FROM q").fetchall()
+    assert Counter(map(tuple, got)) == Counter(want) and len(want) == 18
+    back = warc.read_archives(spark, folder).collect()
+    assert Counter(r["payload"] for r in back if r["warc_type"] == "response") == Counter({"x": 1, "y": 1, "z": 1, "w": 1, "v": 1, "": 1})
+
+
 # --- language model ---
 
 

@@ -147,14 +147,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def deduplicated(records: DataFrame, folder: str) -> DataFrame:
     """Resolves records (record, warc_type, target_uri, warc_date, digest,
-    payload) and writes the archive to `folder`; gives its manifest. Rows with a null record take no part; of rows that share one, all are written.
+    payload) and writes the archive to `folder`; gives its manifest. Rows with a null record take no part; of rows that share one, all are
+    written, but of equal rows that aren't responses one.
 
     Responses are written from where they are read: the few that become
-    revisits are found by a join on the record's id, broadcast while they are few."""
+    revisits are found by a join on the record's id and digest, broadcast while they are few. (A response without a digest never becomes one.)"""
     records = records.where("record is not null")
     solved = cut(resolve(records.select("record", "warc_type", "target_uri", "warc_date", "digest").distinct()))
-    seen = solved.where("warc_type = 'response' and new_type = 'revisit'").select("record", "original", "original_uri", "original_date").dropDuplicates(["record"])
-    first = records.where("warc_type = 'response'").join(small(seen, seen.count()), "record", "left")
+    seen = solved.where("warc_type = 'response' and new_type = 'revisit'").select("record", "digest", "original", "original_uri", "original_date").dropDuplicates(["record", "digest"])
+    first = records.where("warc_type = 'response'").join(small(seen, seen.count()), ["record", "digest"], "left")
     first = first.withColumn("new_type", F.when(F.col("original").isNull(), "response").otherwise("revisit")).withColumn("original", F.coalesce("original", "record"))
     columns = ["record", "new_type", "target_uri", "warc_date", "digest", "original", "original_uri", "original_date", "payload"]
     first = first.withColumn("payload", F.when(F.col("new_type") == "response", F.col("payload")))
