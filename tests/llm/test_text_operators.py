@@ -220,6 +220,15 @@ def test_clashing_fillings_and_inserted_words_keep_the_pair(spark):
     assert found["windows"] == 16 and found["kind"] == "verbatim"
 
 
+def test_names_that_begin_sentences_other_case_and_few_words(spark):
+    item = "Alice has 12 apples and some pears. Alice gives 5 of them to Mr. Brown today. Alice then buys 3 more. Alice eats 2 of these. How many are left?"
+    bench = spark.createDataFrame([(1, item), (2, "What is 12 * 7 + 45?"), (3, "Compute 15 + 27 - 8."), (4, ITEM)], "item_id long, text string")
+    renamed = item.replace("Alice", "Robert").replace("Brown", "Green")
+    rows = [(1, renamed), (2, f"{prose(1, 30)} what is 12 * 7 + 45? {prose(2, 30)}"), (3, "COMPUTE 15 + 27 - 8."), (4, item.upper()), (5, ITEM.lower()), (6, "What is 13 * 7 + 45? Compute 15 + 28 - 8."), (7, prose(3, 60))]
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontam.contaminated(docs_of(spark, rows), bench).collect()}
+    assert got == {(1, 1): "reparameterised", (2, 2): "verbatim", (3, 3): "verbatim", (4, 1): "verbatim", (5, 4): "verbatim"}
+
+
 def test_verbatim_windows_against_brute_force(spark):
     items = [(k, prose(300 + k, 30)) for k in range(8)]
     rows = []

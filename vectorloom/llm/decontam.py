@@ -28,6 +28,8 @@ _UNITS = frozenset(
 )
 _NUMBERS = frozenset("two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 _WORD, _TITLE, _NUMBER, _UNIT = range(4)
+#: What a window is compared by: names inside sentences as slots, those that begin one too, or every token itself in lower case.
+_INNER, _ALL, _PLAIN = range(3)
 _KINDS = {_TITLE: "name", _NUMBER: "number", _UNIT: "unit"}
 
 
@@ -40,13 +42,9 @@ def _among(h: np.ndarray, listed: np.ndarray) -> np.ndarray:
     return listed[np.minimum(np.searchsorted(listed, h), len(listed) - 1)] == h
 
 
-class Templates:
-    """The template places of a batch of texts: hash, kind, and where the
-    text that fills each begins and ends. at[i]:at[i + 1] are the places of text i.
-
-    A token is a run of letters (apostrophes between letters included) or a
-    number (with its separators). A capitalised word is a name unless it begins
-    a sentence, and a unit is one only after a number; names in a row are one place."""
+class Tokens:
+    """The tokens of a batch of texts: runs of letters (apostrophes between
+    letters included) and numbers (with their separators)."""
 
     def __init__(self, texts: list[str]):
         lengths = np.array([len(t) for t in texts], np.int64)
@@ -75,40 +73,61 @@ class Templates:
         before = np.concatenate([[0], ends[:-1]])
         fresh = broken[starts] > broken[before] if len(starts) else np.zeros(0, bool)
         fresh[:1] = True
+        self.title = (upper[ends] - upper[starts] == 1) & (bits[starts] & UPPER).astype(bool) & (ends - starts > 1)
+        self.starts, self.ends, self.hash, self.fresh, self.digits, self.text_of, self.texts = starts, ends, h, fresh, kind[starts] == 2, text_of, len(texts)
+
+
+class Templates:
+    """The template places of tokens by a scheme: hash, kind, and where the
+    text that fills each begins and ends. at[i]:at[i + 1] are the places of text i.
+
+    A capitalised word is a name, by _INNER only unless it begins a sentence; a unit is
+    one only after a number; names in a row are one place. By _PLAIN every token is a word."""
+
+    def __init__(self, t: Tokens, scheme: int = _INNER):
+        self.text, self.scheme = t.text, scheme
+        starts, ends, h, fresh, text_of = t.starts, t.ends, t.hash, t.fresh, t.text_of
+        if scheme == _PLAIN:
+            self.kind, self.starts, self.ends, self.hash = np.full(len(starts), _WORD, np.uint8), starts, ends, h
+            self.at = np.searchsorted(text_of, np.arange(t.texts + 1))
+            self.words = np.concatenate([[0], np.cumsum(~t.digits)])
+            return
         units, numbers = _listed()
         out = np.full(len(starts), _WORD, np.uint8)
-        out[(upper[ends] - upper[starts] == 1) & (bits[starts] & UPPER).astype(bool) & (ends - starts > 1) & ~fresh] = _TITLE
-        out[(kind[starts] == 2) | _among(h, numbers)] = _NUMBER
+        out[t.title & ~fresh if scheme == _INNER else t.title] = _TITLE
+        out[t.digits | _among(h, numbers)] = _NUMBER
         after = np.concatenate([[False], (out[:-1] == _NUMBER) & ~fresh[1:]]) if len(out) else np.zeros(0, bool)
         out[_among(h, units) & after] = _UNIT
-        again = np.concatenate([[False], (out[1:] == _TITLE) & (out[:-1] == _TITLE)]) if len(out) else np.zeros(0, bool)
+        again = np.concatenate([[False], (out[1:] == _TITLE) & (out[:-1] == _TITLE) & ~fresh[1:]]) if len(out) else np.zeros(0, bool)
         keep = np.flatnonzero(~again)
         last = np.append(keep[1:], len(starts))[: len(keep)] - 1
         self.kind, self.starts, self.ends = out[keep], starts[keep], ends[last]
         self.hash = np.where(self.kind == _WORD, h[keep], self.kind.astype(np.uint64))
-        self.at = np.searchsorted(text_of[keep], np.arange(len(texts) + 1))
+        self.at = np.searchsorted(text_of[keep], np.arange(t.texts + 1))
         self.words = np.concatenate([[0], np.cumsum(self.kind == _WORD)])
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, width: int, full: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """The first place of each window of `width` places inside one text
-        that words fill at least half, and its hash."""
+        that words fill at least half, and its hash. By _PLAIN any window will do, but one that
+        isn't of full width has to hold a word."""
+        least = (width + 1) // 2 if self.scheme != _PLAIN else 0 if full else 1
         h = window_hashes(self.hash, width)
         n = np.arange(len(h))
         text = np.searchsorted(self.at, n, "right")
-        good = np.flatnonzero((n + width <= self.at[np.minimum(text, len(self.at) - 1)]) & (2 * (self.words[n + width] - self.words[n]) >= width))
-        return good, h[good] + np.uint64(width)
+        good = np.flatnonzero((n + width <= self.at[np.minimum(text, len(self.at) - 1)]) & (self.words[n + width] - self.words[n] >= least))
+        return good, h[good] + np.uint64(width + (self.scheme << 32))
 
     def slots(self, at: int, width: int) -> list[str]:
         """What fills the placeholders of a window, each with its place in the window and its kind."""
         return [f"{k - at} {_KINDS[self.kind[k]]}={self.text[self.starts[k] : self.ends[k]].lower()}" for k in range(at, at + width) if self.kind[k] in _KINDS]
 
 
-_SCHEMA = "id long, pos int, hash long, slots array<string>, total int"
+_SCHEMA = "id long, pos int, hash long, slots array<string>, total int, scheme int"
 
 
 def _rows(t: Templates, ids: list[int], at: np.ndarray, h: np.ndarray, width: int, total=None) -> list[tuple]:
     text = np.searchsorted(t.at, at, "right") - 1
-    return [(ids[i], p - int(t.at[i]), x, t.slots(p, width), 0 if total is None else total) for i, p, x in zip(text.tolist(), at.tolist(), h.view(np.int64).tolist())]
+    return [(ids[i], p - int(t.at[i]), x, t.slots(p, width), 0 if total is None else total, t.scheme) for i, p, x in zip(text.tolist(), at.tolist(), h.view(np.int64).tolist())]
 
 
 def _bench_windows(width: int):
@@ -116,34 +135,38 @@ def _bench_windows(width: int):
         for batch in batches:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                t = Templates([text])
-                if n := min(width, len(t.kind)):
-                    at, h = t.windows(n)
-                    rows += _rows(t, [i], at, h, n, len(at))
+                tokens = Tokens([text])
+                for scheme in (_INNER, _ALL, _PLAIN):
+                    t = Templates(tokens, scheme)
+                    if n := min(width, len(t.kind)):
+                        at, h = t.windows(n, n == width)
+                        rows += _rows(t, [i], at, h, n, len(at))
             yield _table(rows)
 
     return run
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [[]] * 5
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["id", "pos", "hash", "slots", "total"])
+    cols = list(zip(*rows)) if rows else [[]] * 6
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["id", "pos", "hash", "slots", "total", "scheme"])
 
 
-def _doc_windows(widths: tuple[int, ...], bits: np.ndarray):
+def _doc_windows(widths: dict[int, list[int]], width: int, bits: np.ndarray):
     mask = np.uint64(len(bits) * 8 - 1)
 
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in parts(texts):
-                t, rows = Templates(texts[a:b]), []
-                for w in widths:
-                    place, h = t.windows(w)
-                    at = mix64(h) & mask
-                    hit = np.flatnonzero((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
-                    rows += _rows(t, ids[a:b], place[hit], h[hit], w)
+                tokens, rows = Tokens(texts[a:b]), []
+                for scheme, some in widths.items():
+                    t = Templates(tokens, scheme)
+                    for w in some:
+                        place, h = t.windows(w, w == width)
+                        at = mix64(h) & mask
+                        hit = np.flatnonzero((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+                        rows += _rows(t, ids[a:b], place[hit], h[hit], w)
                 yield _table(rows)
 
     return run
@@ -155,7 +178,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
 
     An item's template windows have `width` places, at least half of them
     words; an item with fewer places is one window, and one of placeholders
-    alone can't be matched. A document is named if its windows, at whatever offsets, cover
+    alone can't be matched. Templates are made twice, without and with names that begin sentences as slots,
+    and windows of tokens as they are, in lower case, are compared too; each of the three is counted for itself. A document is named if its windows, at whatever offsets, cover
     a share `coverage` of the item's windows, or those at one offset `enough` windows. Windows with
     other fillings count as :func:`_counted` says. `kind` is "verbatim" if every covered window is there with
     equal fillings and "reparameterised" if not. Rows with a null id or text take no part; equal rows
@@ -178,13 +202,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
 
     marks = items.select("hash").distinct().coalesce(4).mapInArrow(mark, "b binary").collect()
     bits = np.bitwise_or.reduce([np.frombuffer(r["b"], np.uint8) for r in marks] or [np.zeros(size >> 3, np.uint8)])
-    short = bench.mapInArrow(_lengths(width), "n int").distinct().collect()
-    widths = tuple(sorted({r["n"] for r in short if r["n"]}))
-    hits = docs.mapInArrow(lean(_doc_windows(widths, bits)), _SCHEMA).select(F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"), "hash", F.col("slots").alias("doc_slots"))
-    keys = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), "total")
+    short = bench.mapInArrow(_lengths(width), "scheme int, n int").distinct().collect()
+    widths = {k: sorted({r["n"] for r in short if r["n"] and r["scheme"] == k}) for k in (_INNER, _ALL, _PLAIN)}
+    hits = docs.mapInArrow(lean(_doc_windows(widths, width, bits)), _SCHEMA).select(F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"), "hash", F.col("slots").alias("doc_slots"))
+    keys = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), "total", "scheme")
     met = cut(hits.join(small(keys, n, 100_000), "hash").withColumn("shift", F.col("doc_pos") - F.col("item_pos")).drop("hash").distinct())
     pair, needed = ["doc_id", "item_id"], F.ceil(F.col("total") * coverage)
-    likely = met.groupBy(*pair, "total").agg(F.countDistinct("item_pos").alias("windows")).where((F.col("windows") >= needed) | (F.col("windows") >= enough)).select(*pair).distinct()
+    likely = met.groupBy(*pair, "scheme", "total").agg(F.countDistinct("item_pos").alias("windows")).where((F.col("windows") >= needed) | (F.col("windows") >= enough)).select(*pair).distinct()
     return met.join(likely, pair, "left_semi").groupBy(*pair).applyInArrow(_judge(coverage, enough), _FOUND)
 
 
@@ -215,18 +239,18 @@ def _judge(coverage: float, enough: int):
     """For all windows that a document and an item share: whether they are a copy."""
 
     def run(t: pa.Table) -> pa.Table:
-        offsets: dict[tuple[int, int], list] = {}
-        for total, shift, p, x, y in zip(*[t.column(c).to_pylist() for c in ("total", "shift", "item_pos", "item_slots", "doc_slots")]):
-            offsets.setdefault((total, shift), []).append((p, x, y))
-        covered: dict[int, dict[int, bool]] = {}
+        offsets: dict[tuple[tuple[int, int], int], list] = {}
+        for scheme, total, shift, p, x, y in zip(*[t.column(c).to_pylist() for c in ("scheme", "total", "shift", "item_pos", "item_slots", "doc_slots")]):
+            offsets.setdefault(((scheme, total), shift), []).append((p, x, y))
+        covered: dict[tuple[int, int], dict[int, bool]] = {}
         most: Counter = Counter()
-        for (total, _), places in offsets.items():
-            counted = _counted(places)
-            most[total] = max(most[total], len({p for p, _ in counted}))
+        for (of, _), places in offsets.items():
+            counted, seen = _counted(places), covered.setdefault(of, {})
+            most[of] = max(most[of], len({p for p, _ in counted}))
             for p, same in counted:
-                covered.setdefault(total, {})[p] = covered.get(total, {}).get(p, False) or same
-        out = [(len(c), len(c) / n, all(c.values())) for n, c in covered.items() if len(c) >= math.ceil(n * coverage) or most[n] >= enough]
-        rows = [(t.column("doc_id")[0].as_py(), t.column("item_id")[0].as_py(), max(w for w, _, _ in out), max(c for _, c, _ in out), "verbatim" if any(v for *_, v in out) else "reparameterised")] if out else []
+                seen[p] = seen.get(p, False) or same
+        out = [(len(c), len(c) / of[1], all(c.values())) for of, c in covered.items() if len(c) >= math.ceil(of[1] * coverage) or most[of] >= enough]
+        rows = [(t.column("doc_id")[0].as_py(), t.column("item_id")[0].as_py(), max(w for w, _, _ in out), max(c for _, c, _ in out), "verbatim" if all(v for *_, v in out) else "reparameterised")] if out else []
         types = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.string())
         return pa.table([pa.array([r[k] for r in rows], x) for k, x in enumerate(types)], names=[c.split()[0] for c in _FOUND.split(", ")])
 
@@ -236,7 +260,8 @@ def _judge(coverage: float, enough: int):
 def _lengths(width: int):
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([min(width, len(Templates([t]).kind)) for t in batch.column(1).to_pylist()], pa.int32())], ["n"])
+            found = [(k, min(width, len(Templates(tokens, k).kind))) for t in batch.column(1).to_pylist() for tokens in (Tokens([t]),) for k in (_INNER, _ALL, _PLAIN)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([n for _, n in found], pa.int32())], ["scheme", "n"])
 
     return run
 
