@@ -17,7 +17,7 @@ from vectorloom.sources import models
 from vectorloom.streaming import incremental
 
 BASE = "the cat slept by the mat. the dog slept by the log. the cat fled the dog."
-CONFIG = TrainingConfig(embedding_dim=8, learning_rate=0.1, epochs=2, batch_size=4, context_window=1, negative_samples=2)
+CONFIG = TrainingConfig(dim=8, learning_rate=0.1, epochs=2, batch_size=4, context_window=1, negative_samples=2)
 
 
 @pytest.fixture(scope="module")
@@ -121,26 +121,26 @@ def test_negatives_follow_the_distribution():
 @pytest.mark.parametrize("kind", ["skipgram", "cbow"])
 def test_loss_falls_and_seeds_repeat(sents, vocab, kind):
     c = TrainingConfig(**{**CONFIG.__dict__, "epochs": 25, "learning_rate": 1.0, "model_type": kind, "minibatches": 2})
-    a, b = (training.EmbeddingModel.new(c, vocab).train(sents) for _ in range(2))
+    a, b = (training.VectorModel.new(c, vocab).train(sents) for _ in range(2))
     loss = [r["loss"] for r in a.history.rows]
     assert len(loss) == 25 and sum(loss[-5:]) < sum(loss[:5])
     assert np.array_equal(matrix(a.vectors), matrix(b.vectors))
 
 
 def test_joined_and_broadcast_runs_agree(sents, vocab):
-    whole = training.EmbeddingModel.new(CONFIG, vocab).train(sents)
-    parts = training.EmbeddingModel.new(CONFIG, vocab).train(sents, broadcast_bytes=0)
+    whole = training.VectorModel.new(CONFIG, vocab).train(sents)
+    parts = training.VectorModel.new(CONFIG, vocab).train(sents, broadcast_bytes=0)
     assert np.allclose(matrix(whole.vectors), matrix(parts.vectors), atol=1e-5)
     assert whole.history.final_loss() == pytest.approx(parts.history.final_loss(), rel=1e-5)
 
 
 def test_mini_batches_in_order(sents, vocab):
     c = TrainingConfig(**{**CONFIG.__dict__, "use_parallel": False, "epochs": 15, "learning_rate": 0.5})
-    m = training.EmbeddingModel.new(c, vocab).train(sents)
+    m = training.VectorModel.new(c, vocab).train(sents)
     assert m.history.final_loss() < m.history.rows[0]["loss"]
     one = TrainingConfig(**{**CONFIG.__dict__, "use_parallel": False, "epochs": 1, "batch_size": 10**9})
     full = TrainingConfig(**{**CONFIG.__dict__, "epochs": 1})
-    a, b = (training.EmbeddingModel.new(x, vocab).train(sents) for x in (one, full))
+    a, b = (training.VectorModel.new(x, vocab).train(sents) for x in (one, full))
     assert np.allclose(matrix(a.vectors), matrix(b.vectors), atol=1e-6)
 
 
@@ -151,14 +151,14 @@ def test_uniform_numbers(spark):
 
 def test_settings():
     c = CONFIG.with_dim(16).with_lr_schedule(Schedule("step", step_size=2, gamma=0.5)).with_early_stopping(3, 0.1).with_warmup_epochs(4)
-    assert TrainingConfig.from_json(c.to_json()) == c and c.embedding_dim == 16 and c.with_window(9).context_window == 9
+    assert TrainingConfig.from_json(c.to_json()) == c and c.dim == 16 and c.with_window(9).context_window == 9
     rates = [c.learning_rate_at(e) for e in range(4)]
     assert rates[0] == 0 and TrainingConfig(warmup_epochs=4).learning_rate_at(0) < TrainingConfig(warmup_epochs=4).learning_rate_at(1) < TrainingConfig(warmup_epochs=4).learning_rate_at(2)
     with pytest.raises(ValueError):
         TrainingConfig.from_json("{}")
     with pytest.raises(AttributeError):
         c.with_nothing(1)
-    assert TrainingConfig().embedding_dim == 300
+    assert TrainingConfig().dim == 300
 
 
 def test_early_stopping():
@@ -179,7 +179,7 @@ def test_history(spark):
 
 def test_models_and_checkpoints(spark, sents, vocab, tmp_path):
     c = TrainingConfig(**{**CONFIG.__dict__, "epochs": 4, "checkpoint_interval": 2, "checkpoint_path": str(tmp_path)})
-    m = training.EmbeddingModel.new(c, vocab).train(sents)
+    m = training.VectorModel.new(c, vocab).train(sents)
     half = models.load_checkpoint(spark, f"{tmp_path}/checkpoint_epoch_2")
     assert half.epochs_done == 2 and half.config == c
     assert np.allclose(matrix(half.train(sents).vectors), matrix(m.vectors), atol=1e-6) and half.epochs_done == 4
@@ -196,7 +196,7 @@ def test_pretrained_start(spark, vocab):
 
 
 def test_incremental_and_domain_training(spark, sents, vocab):
-    m = training.EmbeddingModel.new(CONFIG, vocab).train(sents)
+    m = training.VectorModel.new(CONFIG, vocab).train(sents)
     n = vocab.count()
     more = spark.createDataFrame([(7, 0, ["brand", "new", "cat"])], "doc_id long, sent_id int, words array<string>")
     u, corpus = training.update(m, sents, more, 1)
@@ -213,7 +213,7 @@ def test_streams(spark, vocab, sents, tmp_path):
     incremental.count_stream(incremental.sentence_stream(spark, f"{tmp_path}/in", files_per_trigger=1), f"{tmp_path}/counts")
     got = {r["word"]: r["freq"] for r in incremental.counted(spark, f"{tmp_path}/counts").collect()}
     assert got["the"] == 2 and got["fresh"] == 1 and sum(got.values()) == 11
-    m = incremental.stream_train(incremental.sentence_stream(spark, f"{tmp_path}/in"), training.EmbeddingModel.new(CONFIG, vocab), sents, f"{tmp_path}/state", 2, 1)
+    m = incremental.stream_train(incremental.sentence_stream(spark, f"{tmp_path}/in"), training.VectorModel.new(CONFIG, vocab), sents, f"{tmp_path}/state", 2, 1)
     assert m.vectors.where("word = 'fresh'").count() == 1 and m.epochs_done == 2
 
 

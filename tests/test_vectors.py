@@ -190,7 +190,7 @@ def test_metrics(spark, words):
     assert got["accuracy"] == 0.5 and got["precision"] == 0.5 and got["recall"] == 0.5 and got["f1_score"] == 0.5
     assert got["mean_similarity"] == pytest.approx(((s[0] + s[1]) / 2 + (s[2] + s[3]) / 2) / 2, abs=1e-6)
     none = evaluation.evaluate(words, pairs(("x", "y")).limit(0), pairs(("x", "y")).limit(0)).first()
-    assert list(none)[:5] == [0.0] * 5 and 0 < none["embedding_quality_score"] <= 1
+    assert list(none)[:5] == [0.0] * 5 and 0 < none["vector_quality"] <= 1
 
 
 def test_rank_correlation(spark):
@@ -231,15 +231,15 @@ def test_quantizing(spark, cloud):
         quantize.quantize(df, "int3")
 
 
-def test_embeddings_of_sentences_documents_and_parts(spark, words):
+def test_vectors_of_sentences_documents_and_parts(spark, words):
     s = spark.createDataFrame([(1, 0, ["king", "king", "queen", "x"]), (1, 1, ["man"]), (2, 0, ["x"])], "doc_id long, sent_id int, words array<string>")
-    got = {(r["doc_id"], r["sent_id"]): r["vec"] for r in transfer.sentence_embeddings(s, words, dim=2).collect()}
+    got = {(r["doc_id"], r["sent_id"]): r["vec"] for r in transfer.sentence_vectors(s, words, dim=2).collect()}
     assert got[1, 0] == pytest.approx([2.9 / 3, 0.1 / 3], abs=1e-6) and set(got) == {(1, 0), (1, 1)}
-    d = transfer.document_embeddings(s, words).collect()
+    d = transfer.document_vectors(s, words).collect()
     assert len(d) == 1 and d[0]["vec"] == pytest.approx([(2.9 / 3 + 0.1) / 2, (0.1 / 3 + 1) / 2], abs=1e-6)
     g = spark.createDataFrame([("<ab", [1.0]), ("ab>", [3.0]), ("aaa", [5.0])], "gram string, vec array<double>")
     w = spark.createDataFrame([("ab",), ("aaaa",), ("zz",)], "word string")
-    assert {r["word"]: r["vec"] for r in transfer.subword_embeddings(w, g, 3, 3).collect()} == {"ab": [2.0], "aaaa": [5.0]}
+    assert {r["word"]: r["vec"] for r in transfer.subword_vectors(w, g, 3, 3).collect()} == {"ab": [2.0], "aaaa": [5.0]}
 
 
 def test_transformer(spark):

@@ -16,7 +16,7 @@ from .operators.evaluation import METRICS, evaluate, validation_data
 from .operators.search import analogy, semantic_search, similarity
 from .operators.vocab import split, vocab_of_sentences
 from .plans.config import TrainingConfig
-from .plans.training import EmbeddingModel
+from .plans.training import VectorModel
 from .sources.formats import EXPORTS, export, save_text, whole_text
 from .sources.models import load_model, save_model
 from .sources.shared import written
@@ -35,11 +35,11 @@ def _config(a: argparse.Namespace) -> TrainingConfig:
     if getattr(a, "config", None):
         with open(a.config, encoding="utf-8") as f:
             return TrainingConfig.from_json(f.read())
-    names = {"dim": "embedding_dim", "learning_rate": "learning_rate", "epochs": "epochs", "batch_size": "batch_size", "window": "context_window", "negative_samples": "negative_samples", "model_type": "model_type"}
+    names = {"dim": "dim", "learning_rate": "learning_rate", "epochs": "epochs", "batch_size": "batch_size", "window": "context_window", "negative_samples": "negative_samples", "model_type": "model_type"}
     return TrainingConfig(**{to: getattr(a, k) for k, to in names.items() if hasattr(a, k)})
 
 
-def _report(model: EmbeddingModel, held: DataFrame, path: str | None) -> dict[str, float]:
+def _report(model: VectorModel, held: DataFrame, path: str | None) -> dict[str, float]:
     pos, neg, _ = validation_data(held)
     metrics = dict(zip(METRICS, map(float, evaluate(model.vectors, pos, neg).first())))
     print("\n".join(f"{k}: {v:.4f}" for k, v in metrics.items()))
@@ -51,18 +51,20 @@ def _report(model: EmbeddingModel, held: DataFrame, path: str | None) -> dict[st
 
 def train(a: argparse.Namespace) -> None:
     s = _sentences(_session(), a.input, a.code, a.language)
-    held = None
-    if a.validation_ratio > 0:
-        s, held = split(s, ["doc_id", "sent_id"], 1 - a.validation_ratio)
+    held, config = None, _config(a)
+    # a configuration file's ratio comes before the flag
+    ratio = a.validation_ratio if config.validation_ratio is None else config.validation_ratio
+    if ratio > 0:
+        s, held = split(s, ["doc_id", "sent_id"], 1 - ratio)
         vocab = vocab_of_sentences(s.unionByName(held))
     else:
         vocab = vocab_of_sentences(s)
-    model = EmbeddingModel.new(_config(a), written(vocab, "vocab")).train(s)
+    model = VectorModel.new(config, written(vocab, "vocab")).train(s)
     save_model(model, a.output)
-    save_text(model.vectors, a.embeddings)
+    save_text(model.vectors, a.vectors)
     print(f"final loss {model.history.final_loss():.4f} after {model.epochs_done} epochs")
     if held is not None:
-        _report(model, held, a.validation_output)
+        model.history.record_validation(_report(model, held, a.validation_output))
 
 
 def show_similarity(a: argparse.Namespace) -> None:
@@ -74,7 +76,7 @@ def show_similarity(a: argparse.Namespace) -> None:
 
 def info(a: argparse.Namespace) -> None:
     m = load_model(_session(), a.model)
-    print(f"words {m.vocab.count()}, dimension {m.config.embedding_dim}, {m.config.model_type}, epochs {m.config.epochs}, rate {m.config.learning_rate}, window {m.config.context_window}")
+    print(f"words {m.vocab.count()}, dimension {m.config.dim}, {m.config.model_type}, epochs {m.config.epochs}, rate {m.config.learning_rate}, window {m.config.context_window}")
     for r in m.vectors.orderBy("word_id").limit(10).select("word", norm("vec").alias("n")).collect():
         print(f"  {r['word']}: norm {r['n']:.3f}")
 
@@ -88,7 +90,7 @@ def validate(a: argparse.Namespace) -> None:
     _report(load_model(spark, a.model), _sentences(spark, a.input), a.output)
 
 
-def answer(model: EmbeddingModel, line: str) -> str:
+def answer(model: VectorModel, line: str) -> str:
     """One line of the interactive mode: "sim a b", "analogy a b c" or "search a"."""
     what, *words = line.split() or [""]
     if what == "sim" and len(words) == 2:
@@ -102,7 +104,7 @@ def answer(model: EmbeddingModel, line: str) -> str:
 
 def interactive(a: argparse.Namespace) -> None:
     s = _sentences(_session(), a.input)
-    model = EmbeddingModel.new(_config(a), written(vocab_of_sentences(s), "vocab")).train(s)
+    model = VectorModel.new(_config(a), written(vocab_of_sentences(s), "vocab")).train(s)
     save_model(model, a.output)
     for line in sys.stdin:
         if line.strip() in ("quit", "exit"):
@@ -126,7 +128,7 @@ def parser() -> argparse.ArgumentParser:
     need = {"required": True}
     tuning = [o("--epochs", type=int, default=10), o("-l --learning-rate", type=float, default=0.025), o("-w --window", type=int, default=5), o("-n --negative-samples", type=int, default=5)]
     command(
-        "train", train, o("-i --input", **need), o("-o --output", **need), o("-e --embeddings", **need), o("-c --config"), o("-d --dim", type=int, default=300), o("-b --batch-size", type=int, default=32), *tuning,
+        "train", train, o("-i --input", **need), o("-o --output", **need), o("-e --vectors", **need), o("-c --config"), o("-d --dim", type=int, default=300), o("-b --batch-size", type=int, default=32), *tuning,
         o("-m --model-type", choices=["skipgram", "cbow"], default="skipgram"), o("--validation-ratio", type=float, default=0.0), o("--validation-output"), o("--code", action="store_true"), o("--language", default="rust"),
     )
     command("similarity", show_similarity, o("word1"), o("word2"), o("-m --model", **need), o("-v --vocab"))

@@ -79,8 +79,26 @@ def squared_distance(a, b) -> Column:
     return total(F.zip_with(doubles(a), doubles(b), lambda x, y: (x - y) * (x - y)))
 
 
+def _product_udf(m: np.ndarray):
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def product(v: pa.Array) -> pa.Array:
+        out = [None] * len(v)
+        rows = [i for i, x in enumerate(v) if x.is_valid]
+        if rows:
+            y = np.stack([np.asarray(v[i].values, float) for i in rows]) @ m.T
+            for i, x in zip(rows, y):
+                out[i] = x
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return product
+
+
 def matrix_times(matrix: np.ndarray, v) -> Column:
-    """matrix @ v for a matrix known on the driver."""
+    """matrix @ v for a matrix known on the driver: an expression if it is small, else
+    products of whole batches."""
+    m = np.asarray(matrix, float)
+    if m.size > 256:
+        return _product_udf(m)(doubles(v))
     rows = [F.array(*[F.lit(float(x)) for x in row]) for row in np.asarray(matrix)]
     return F.array(*[dot(r, v) for r in rows])
 

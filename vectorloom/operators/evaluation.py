@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .search import pair_similarity, quality_score
-from .vocab import folds
+from .vocab import folds, ranged
 
-METRICS = ("accuracy", "precision", "recall", "f1_score", "mean_similarity", "embedding_quality_score")
+METRICS = ("accuracy", "precision", "recall", "f1_score", "mean_similarity", "vector_quality")
 
 
 def _safe(a: Column, b: Column) -> Column:
@@ -39,16 +41,44 @@ def evaluate(vectors: DataFrame, positive: DataFrame, negative: DataFrame, thres
     norm are skipped; equal pairs are looked up once and counted as often as they are there."""
     pairs = positive.select("word1", "word2", F.lit(True).alias("positive")).unionByName(negative.select("word1", "word2", F.lit(False).alias("positive")))
     scored = pair_similarity(pairs, vectors, word_col=word_col, vec=vec)
-    return classification(scored, threshold).crossJoin(F.broadcast(quality_score(vectors, vec).select(F.col("quality").alias("embedding_quality_score"))))
+    return classification(scored, threshold).crossJoin(F.broadcast(quality_score(vectors, vec).select(F.col("quality").alias("vector_quality"))))
+
+
+#: Values closer than this to the first of a run of values share its rank.
+TIE = 1e-9
+
+
+def _ranks_of(values: np.ndarray, counts: np.ndarray, before: int) -> np.ndarray:
+    """The mean rank of each of the rising distinct values, `before` rows being lower than all."""
+    first = np.concatenate([[True], np.diff(values) >= TIE]) if len(values) else np.zeros(0, bool)
+    starts = np.flatnonzero(first)
+    for i, j in zip(starts, np.append(starts[1:], len(values))):
+        if values[j - 1] - values[i] >= TIE:  # a chain of near values is longer than one run
+            for k in range(i + 1, j):
+                if values[k] - values[i] >= TIE:
+                    first[k], i = True, k
+    starts, run = np.flatnonzero(first), np.cumsum(first) - 1
+    n = np.add.reduceat(counts, starts) if len(starts) else counts
+    return (before + np.cumsum(n) - n + (n + 1) / 2)[run]
 
 
 def average_rank(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """df with 1-based ranks; equal values share their mean rank. Values are
-    counted first, so what is ordered in one place are distinct values, not rows."""
-    counts = df.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select("_v", (below + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(ranks, F.col(value) == F.col("_v")).drop("_v")
+    """df with 1-based ranks; values within :data:`TIE` of the first of their run
+    share their mean rank. Distinct values are counted and ranked range by range; only the ranges' sizes
+    are summed in one place. Should a border of two ranges part near values, all are ranked in one task."""
+    counts = ranged(df.groupBy(F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n")), ["__v"])
+    sizes = counts.groupBy("__bucket").agg(F.min("__v").alias("low"), F.max("__v").alias("high"), F.sum("__n").alias("n")).orderBy("__bucket").collect()
+    if any(b["low"] - a["high"] < TIE for a, b in zip(sizes, sizes[1:])):
+        counts = counts.withColumn("__bucket", F.lit(-1))
+    before = dict(zip([r["__bucket"] for r in sizes], np.cumsum([0, *[r["n"] for r in sizes]]).tolist()))
+
+    def rank(t: pa.Table) -> pa.Table:
+        t = t.sort_by("__v")
+        v, n = t.column("__v").to_numpy(), t.column("__n").to_numpy()
+        return pa.table({"__v": t.column("__v"), "__rank": _ranks_of(v, n, before.get(t.column("__bucket")[0].as_py(), 0))})
+
+    ranks = counts.groupBy("__bucket").applyInArrow(rank, "__v double, __rank double").select("__v", F.col("__rank").alias(name))
+    return df.join(ranks, F.col(value).cast("double") == F.col("__v")).drop("__v")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:

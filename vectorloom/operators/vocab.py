@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import u01
 from ..functions.text import TextProcessor
+from ..sources.shared import written
 
 #: Token numbers a document may have beside its id in one 64-bit position.
 _TOKEN_BITS, _BUCKET_BITS = 24, 36
@@ -16,19 +17,25 @@ def numbered(df: DataFrame, bucket: Column, order: list, name: str = "rn", start
     """df with consecutive numbers in the given order, without sorting
     everything in one task. `bucket` must not fall in that order; rows are sorted
     bucket by bucket and only the buckets' sizes are summed in one place."""
-    b = df.withColumn("_b", bucket)
-    offsets = b.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = offsets.select(F.col("_b").alias("_k"), before.alias("_before"))
-    rows = b.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
+    b = df.withColumn("__bucket", bucket)
+    offsets = b.groupBy("__bucket").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = offsets.select(F.col("__bucket").alias("__of"), before.alias("__before"))
+    rows = b.withColumn("__row", F.row_number().over(Window.partitionBy("__bucket").orderBy(*order)))
     # null buckets come first and must meet their own offset
-    return rows.join(offsets, F.col("_b").eqNullSafe(F.col("_k"))).withColumn(name, (F.col("_before") + F.col("_r") - 1 + start).cast("long")).drop("_b", "_k", "_before", "_r")
+    return rows.join(offsets, F.col("__bucket").eqNullSafe(F.col("__of"))).withColumn(name, (F.col("__before") + F.col("__row") - 1 + start).cast("long")).drop("__bucket", "__of", "__before", "__row")
+
+
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """df as a written table with `__bucket`: ranges of about equal size in the order of
+    the columns, as many as the shuffle has partitions. For keys of which no coarse form is known."""
+    return written(df.repartitionByRange(*order).withColumn("__bucket", F.spark_partition_id()), "ranges")
 
 
 def shuffled(df: DataFrame, keys: list[str], seed: int, name: str = "rn", buckets: int = 1024) -> DataFrame:
     """df numbered in a random order that depends on the keys' values and the seed alone."""
-    u = df.withColumn("_u", u01(seed, *[F.col(k) for k in keys]))
-    return numbered(u, F.floor(F.col("_u") * buckets), ["_u", *keys], name).drop("_u")
+    u = df.withColumn("__u", u01(seed, *[F.col(k) for k in keys]))
+    return numbered(u, F.floor(F.col("__u") * buckets), ["__u", *keys], name).drop("__u")
 
 
 # --- vocabulary ---
@@ -39,8 +46,10 @@ def build_vocab(docs: DataFrame, processor: TextProcessor | None = None, text: s
     in the order of first occurrence (by key, then place in the text)."""
     words = F.flatten((processor or TextProcessor()).sentences(F.col(text)))
     t = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.posexplode(words).alias("i", "word"))
-    # one long, so that the aggregation stays in hash maps; an id too large for it is an error, not a wrong order
-    first = t.groupBy("word").agg(F.count("*").alias("freq"), F.min(F.col("k") * F.lit(1 << _TOKEN_BITS) + F.col("i")).alias("_first"))
+    # one long, so that the aggregation stays in hash maps; an id or a text too large for it is an error, not a wrong order
+    fits = (F.col("i") < 1 << _TOKEN_BITS) & F.col("k").between(-(1 << 63 - _TOKEN_BITS), (1 << 63 - _TOKEN_BITS) - 1)
+    place = F.when(fits, F.shiftleft("k", _TOKEN_BITS) + F.col("i")).otherwise(F.raise_error(F.lit("a document has 2^24 tokens or an id beyond 2^39: use vocab_of_sentences")).cast("long"))
+    first = t.groupBy("word").agg(F.count("*").alias("freq"), F.min(place).alias("_first"))
     return numbered(first, F.shiftright("_first", _BUCKET_BITS), ["_first"], "word_id").select("word_id", "word", "freq")
 
 
@@ -48,7 +57,8 @@ def vocab_of_sentences(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
     """The same of (key, sent_id, words) rows, for keys of any type."""
     t = sentences.select(key, "sent_id", F.posexplode("words").alias("pos", "word"))
     first = t.groupBy("word").agg(F.count("*").alias("freq"), F.min(F.struct(key, "sent_id", "pos")).alias("_first"))
-    return numbered(first, F.col(f"_first.{key}"), ["_first"], "word_id").select("word_id", "word", "freq")
+    first = ranged(first, ["_first"])
+    return numbered(first, F.col("__bucket"), ["_first"], "word_id").select("word_id", "word", "freq")
 
 
 def total_words(vocab: DataFrame) -> DataFrame:

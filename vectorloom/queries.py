@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import code, text, tokenizers, vector
-from .functions.rng import u01
+from .functions.rng import draw_sql, u01
 from .operators import ann, clustering, evaluation, quantize, search, transfer, transformer, vocab, windows
 from .plans.config import CBOW, Schedule, TrainingConfig
-from .plans.training import EmbeddingModel, init_vectors
+from .plans.training import VectorModel, init_vectors
 from .sources import formats
-from .sources.shared import shared_path, written
+from .sources.shared import shared_path, spread, written
 from .streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,7 +44,7 @@ def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def r6(c) -> Column:
@@ -260,7 +260,7 @@ def position_encoding(spark, sf_dir):
 @query(f"""WITH p AS (SELECT list_cosine_similarity(e, f) AS s, label = label2 AS pos FROM {_NEXT}),
     m AS (SELECT count(*) FILTER (pos AND s >= 0.5) AS tp, count(*) FILTER (NOT pos AND s >= 0.5) AS fp, count(*) FILTER (pos AND s < 0.5) AS fn, count(*) AS n, count(*) FILTER (NOT pos AND s < 0.5) AS tn, avg(s) FILTER (pos) AS mp, avg(s) FILTER (NOT pos) AS mn FROM p),
     r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS pr, coalesce(tp / nullif(tp + fn, 0), 0) AS re FROM m), q AS ({SQL["quality_score"]})
-    SELECT round((tp + tn) / n, 6) AS accuracy, round(pr, 6) AS precision, round(re, 6) AS recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0), 6) AS f1_score, round((coalesce(mp, 0) + coalesce(mn, 0)) / 2, 6) AS mean_similarity, quality AS embedding_quality_score FROM r, q""")
+    SELECT round((tp + tn) / n, 6) AS accuracy, round(pr, 6) AS precision, round(re, 6) AS recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0), 6) AS f1_score, round((coalesce(mp, 0) + coalesce(mn, 0)) / 2, 6) AS mean_similarity, quality AS vector_quality FROM r, q""")
 def evaluate_metrics(spark, sf_dir):
     v = emb(spark, sf_dir)
     n = next_to(v).select(F.col("vec_id").alias("word1"), (F.col("vec_id") + 1).alias("word2"), (F.col("label") == F.col("label2")).alias("same"))
@@ -467,24 +467,24 @@ _SE = f"t AS MATERIALIZED {_T}, {_WV}, s AS MATERIALIZED (SELECT doc_id, sent_id
 
 
 @query(f"WITH {_SE} SELECT doc_id, sent_id, round(e[1], 6) AS x, round({_NORM.format('e')}, 6) AS norm FROM s")
-def sentence_embedding(spark, sf_dir):
+def sentence_vectors(spark, sf_dir):
     v = init_vectors(vocab.build_vocab(docs(spark, sf_dir)), 4)
-    s = transfer.sentence_embeddings(_sentences(spark, sf_dir), v, dim=4)
+    s = transfer.sentence_vectors(_sentences(spark, sf_dir), v, dim=4)
     return s.select("doc_id", "sent_id", r6(F.col("vec")[0]).alias("x"), r6(vector.norm("vec")).alias("norm"))
 
 
 @query(f"WITH {_SE} SELECT doc_id, (generate_subscripts(m, 1) - 1)::INT AS i, round(unnest(m), 6) AS x FROM (SELECT doc_id, [{', '.join(f'avg(e[{i}])' for i in range(1, 5))}] AS m FROM s GROUP BY doc_id)")
-def document_embedding(spark, sf_dir):
+def document_vectors(spark, sf_dir):
     v = init_vectors(vocab.build_vocab(docs(spark, sf_dir)), 4)
-    return components(transfer.document_embeddings(_sentences(spark, sf_dir), v, dim=4), ["doc_id"])
+    return components(transfer.document_vectors(_sentences(spark, sf_dir), v, dim=4), ["doc_id"])
 
 
 @query(f"""WITH w AS (SELECT word, unnest({_subs(chr(39) + '<' + chr(39) + ' || word || ' + chr(39) + '>' + chr(39), 3, 4)}) AS gram FROM {_V})
     SELECT word, round(avg(({_u('1', 'gram', '0')} - 0.5)::FLOAT::DOUBLE), 6) AS x FROM w GROUP BY word""")
-def subword_embedding(spark, sf_dir):
+def subword_vectors(spark, sf_dir):
     v = vocab.build_vocab(docs(spark, sf_dir)).select("word")
     grams = v.select(F.explode(tokenizers.char_ngrams(F.col("word"), 3, 4)).alias("word")).distinct().select(F.lit(0).alias("word_id"), "word")
-    e = transfer.subword_embeddings(v, init_vectors(grams, 1).select(F.col("word").alias("gram"), "vec"), 3, 4, dim=1)
+    e = transfer.subword_vectors(v, init_vectors(grams, 1).select(F.col("word").alias("gram"), "vec"), 3, 4, dim=1)
     return e.select("word", r6(F.col("vec")[0]).alias("x"))
 
 
@@ -533,19 +533,58 @@ def stream_word_counts(spark, sf_dir):
 # --- training ---
 
 
-def _trained(spark, sf_dir, kind: str) -> EmbeddingModel:
+#: One full-batch epoch moves vectors by the mean gradient of all pairs, hence the large rate.
+_DIM, _RATE = 32, 100.0
+
+
+def _trained(spark, sf_dir, kind: str) -> DataFrame:
+    """Every component of every vector after one epoch, and the epoch's mean loss."""
     s = written(_sentences(spark, sf_dir), "corpus")
-    v = written(vocab.build_vocab(docs(spark, sf_dir)), "vocab")
-    config = TrainingConfig(embedding_dim=32, epochs=2, learning_rate=1.0, model_type=kind, minibatches=2)
-    return EmbeddingModel.new(config, v).train(s)
+    v = written(vocab.vocab_of_sentences(s), "vocab")
+    config = TrainingConfig(dim=_DIM, epochs=1, learning_rate=_RATE, model_type=kind)
+    start = VectorModel.new(config, v)
+    start.vectors = start.vectors.withColumn("vec", F.col("vec").cast("array<double>"))
+    m = start.train(s)
+    return components(m.vectors, ["word_id", "word"]).withColumn("loss", F.lit(round(m.history.final_loss(), 6)))
 
 
-@query()
+def _each(f: Callable[[int], str]) -> str:
+    return ", ".join(f(i) for i in range(1, _DIM + 1))
+
+
+def _sums(x: Callable[[int], str]) -> str:
+    return _each(lambda i: f"sum({x(i)}) AS g{i}")
+
+
+# targets with their place, contexts within five words, and the first five different words of sixteen draws, as negatives
+_EPOCH = f"""t AS MATERIALIZED {_T}, v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY first_at) - 1 AS id, word, freq FROM (SELECT word, count(*) AS freq, min((doc_id, sent_id, pos)) AS first_at FROM t GROUP BY word)),
+    e AS MATERIALIZED (SELECT id, [{', '.join(f"(({_u('1', 'word', str(i))} - 0.5) / sqrt({_DIM}))::FLOAT::DOUBLE" for i in range(_DIM))}] AS e FROM v),
+    k AS MATERIALIZED (SELECT row_number() OVER () AS tid, ('0x' || substr(md5(concat_ws('|', doc_id, sent_id)), 1, 15))::BIGINT AS sid, doc_id, sent_id, pos, count(*) OVER (PARTITION BY doc_id, sent_id) AS n, id FROM t JOIN v USING (word)),
+    c AS MATERIALIZED (SELECT a.tid, a.id AS target, b.id AS context FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.sent_id = b.sent_id AND b.pos BETWEEN a.pos - 5 AND a.pos + 5 AND a.pos <> b.pos),
+    f AS (SELECT id, coalesce(lag(s) OVER (ORDER BY id), 0) AS low FROM (SELECT id, sum(pow(freq, 0.75)) OVER (ORDER BY id) / sum(pow(freq, 0.75)) OVER () AS s FROM v)),
+    d AS (SELECT tid, id AS target, j, {draw_sql('1', '17', '0', 'sid', 'pos', 'j')} AS u FROM k, range(16) r(j) WHERE n > 1),
+    w AS (SELECT d.tid, d.target, f.id AS negative, min(d.j) AS j FROM d ASOF JOIN f ON d.u >= f.low WHERE f.id <> d.target GROUP BY ALL),
+    o AS MATERIALIZED (SELECT tid, target, negative FROM w QUALIFY row_number() OVER (PARTITION BY tid ORDER BY j) <= 5)"""
+_LOSS = "ln(greatest(CASE WHEN label = 1 THEN p ELSE 1 - p END, 1e-12))"
+_MOVED = f"SELECT id AS word_id, word, (generate_subscripts(e, 1) - 1)::INT AS i, round(unnest(e), 6) AS x, loss FROM (SELECT e.id, [{_each(lambda i: f'e[{i}] - coalesce(g{i}, 0) / n')}] AS e, round(loss / n, 6) AS loss FROM e LEFT JOIN g ON e.id = g.id, m) JOIN v USING (id)"
+
+
+@query(f"""WITH {_EPOCH},
+    q AS (SELECT target AS a, context AS b, 1 AS label, count(*) AS times FROM c GROUP BY ALL UNION ALL SELECT o.target, negative, 0, sum(s.n) FROM o JOIN (SELECT tid, count(*) AS n FROM c GROUP BY tid) s USING (tid) GROUP BY ALL),
+    p AS MATERIALIZED (SELECT a, b, label, times, 0.5 * (1 + tanh(0.5 * list_dot_product(x.e, y.e))) AS p FROM q JOIN e x ON x.id = a JOIN e y ON y.id = b),
+    h AS (SELECT a AS id, b AS other, {_RATE} * (p - label) * times AS c FROM p UNION ALL SELECT b, a, {_RATE} * (p - label) * times FROM p),
+    g AS (SELECT h.id, {_sums(lambda i: f"c * e[{i}]")} FROM h JOIN e ON e.id = other GROUP BY h.id),
+    m AS (SELECT sum(times) FILTER (label = 1) AS n, -sum({_LOSS} * times) AS loss FROM p) {_MOVED}""")
 def train_skipgram(spark, sf_dir):
-    return _trained(spark, sf_dir, "skipgram").history.to_df(spark).select("epoch", "loss", "learning_rate")
+    return _trained(spark, sf_dir, "skipgram")
 
 
-@query()
+@query(f"""WITH {_EPOCH},
+    hh AS MATERIALIZED (SELECT tid, any_value(target) AS target, [{_each(lambda i: f"avg(e[{i}])")}] AS h FROM c JOIN e ON e.id = context GROUP BY tid),
+    q AS (SELECT tid, target AS b, 1 AS label FROM hh UNION ALL SELECT tid, negative, 0 FROM o),
+    p AS MATERIALIZED (SELECT tid, b, label, h, y.e, 0.5 * (1 + tanh(0.5 * list_dot_product(h, y.e))) AS p FROM q JOIN hh USING (tid) JOIN e y ON y.id = b),
+    s AS (SELECT tid, {_sums(lambda i: f"{_RATE} * (p - label) * e[{i}]")} FROM p GROUP BY tid),
+    g AS (SELECT id, {_sums(lambda i: f"g{i}")} FROM (SELECT b AS id, {_sums(lambda i: f"{_RATE} * (p - label) * h[{i}]")} FROM p GROUP BY b UNION ALL SELECT context, {_sums(lambda i: f"g{i}")} FROM c JOIN s USING (tid) GROUP BY context) GROUP BY id),
+    m AS (SELECT count(*) FILTER (label = 1) AS n, -sum({_LOSS}) AS loss FROM p) {_MOVED}""")
 def train_cbow(spark, sf_dir):
-    m = _trained(spark, sf_dir, CBOW)
-    return m.vectors.select("word_id", "word", r6(vector.norm("vec")).alias("norm"))
+    return _trained(spark, sf_dir, CBOW)

@@ -27,7 +27,9 @@ _WORDS = "word string, vec array<float>"
 
 
 def plain(path: str) -> str:
-    """A file:/ path as Python opens it."""
+    """A file:/ path as Python opens it; other schemes have no such path and are an error."""
+    if re.match(r"^(?!file:)[A-Za-z][A-Za-z0-9+.-]+:/", str(path)):
+        raise ValueError(f"{path}: a single file is written and read through a mounted file system")
     return re.sub(r"^file:/+", "/", str(path))
 
 
@@ -149,6 +151,33 @@ def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.lower(F.trim(parts[i])).alias(f"word{i + 1}") for i in (0, 1)], F.trim(parts[2]).try_cast("float").alias("score")).where("score is not null")
 
 
+#: Names of well-known word-pair benchmarks and what else they are called.
+BENCHMARKS = {"wordsim353": ("wordsim-353", "ws353"), "simlex999": ("simlex-999", "simlex"), "men": ("men-tr-3k",), "rw": ("rw-stanford", "rare-words"), "scws": ()}
+_FOLDER = "spark.vectorloom.benchmarks"
+
+
+def benchmark_name(name: str) -> str:
+    """The name of a benchmark from it or an alias, in any case."""
+    found = next((k for k, others in BENCHMARKS.items() if name.lower() in (k, *others)), None)
+    if found is None:
+        raise ValueError(f"unknown benchmark {name}; known: {', '.join(BENCHMARKS)}")
+    return found
+
+
+def load_builtin(spark: SparkSession, name: str, folder: str | None = None) -> DataFrame:
+    """The pairs of a benchmark by its name, from <name>.tsv in the folder or
+    the one that the session's ``spark.vectorloom.benchmarks`` names; none of the files comes with this library."""
+    known = benchmark_name(name)
+    folder = folder or spark.conf.get(_FOLDER, None)
+    if not folder:
+        raise FileNotFoundError(f"{known}: no folder is given and {_FOLDER} isn't set")
+    path = f"{folder.rstrip('/')}/{known}.tsv"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        raise FileNotFoundError(f"{known}: there is no {path}")
+    return read_benchmark(spark, path)
+
+
 # --- writers ---
 
 

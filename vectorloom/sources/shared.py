@@ -30,3 +30,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows on all cores where they come from fewer files than there are
+    cores and are less than a scan task's worth for each: such a file often is one row group, which one task
+    reads. Larger inputs are left alone, so nothing large is shuffled for this."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > cores * (128 << 20):
+        return df
+    return df.repartition(cores)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import TextProcessor
 from ..operators.vocab import batches
-from ..plans.training import EmbeddingModel, update
+from ..plans.training import VectorModel, update
 from ..sources.formats import line_sentences
 from ..sources.models import load_model, save_model
 
@@ -34,7 +34,7 @@ def counted(spark: SparkSession, state: str) -> DataFrame:
     return spark.read.parquet(f"{state}/counts").groupBy("word").agg(F.sum("freq").alias("freq"))
 
 
-def stream_train(stream: DataFrame, model: EmbeddingModel, corpus: DataFrame, state: str, batch_size: int, epochs: int) -> EmbeddingModel:
+def stream_train(stream: DataFrame, model: VectorModel, corpus: DataFrame, state: str, batch_size: int, epochs: int) -> VectorModel:
     """Trains on a stream of (words) in groups of `batch_size` sentences, the
     last one shorter, and gives the model after all that is there now.
 
