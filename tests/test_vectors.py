@@ -119,12 +119,13 @@ def test_hyperplanes(cloud):
 
 
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
-def test_registered_hyperplanes_find_the_nearest(spark, sf):
+@pytest.mark.parametrize("name", ["lsh_topk", "hnsw_topk"])
+def test_registered_searches_find_the_nearest(spark, name, sf):
     folder = f"/root/testdata/{sf}"
     rows = queries.emb(spark, folder).orderBy("vec_id").collect()
     ids = [r["vec_id"] for r in rows]
-    want = {(ids[a], ids[b]) for a, b in exact(np.array([r["vec"] for r in rows], float), 10)}
-    got = {(r["query"], r["neighbor"]) for r in queries.QUERIES["lsh_topk_wide"](spark, folder).collect()}
+    want = {(ids[a], ids[b]) for a, b in exact(np.array([r["vec"] for r in rows], float), 10) if ids[a] % 50 == 0}
+    got = {(r["query"], r["neighbor"]) for r in queries.QUERIES[name](spark, folder).collect()}
     assert got and len(got & want) >= 0.9 * len(want)
 
 

@@ -94,23 +94,22 @@ def classify(items: DataFrame, prototypes: DataFrame, vec: str = "vec", label: s
     return withn.withColumn("_best", best).withColumns({"predicted": F.col("_best.l"), "similarity": F.col("_best.s")}).drop("_best", "_all", "_n")
 
 
-def knn(vectors: DataFrame, k: int = 10, id_col: str = "word_id", vec: str = "vec", block: int = BLOCK, zero: float | None = None) -> DataFrame:
+def knn(vectors: DataFrame, k: int = 10, id_col: str = "word_id", vec: str = "vec", block: int = BLOCK, queries: DataFrame | None = None) -> DataFrame:
     """(id_col, neighbor, similarity, rank): the k nearest others of every
-    vector by cosine, exactly; ties by id. Zero norms take no part.
+    vector, or of every row of queries, by cosine, exactly; ties by id. Zero norms take no part.
 
     Vectors are packed into blocks of rows and every two blocks meet in one
     matrix product, so no task holds more than two blocks at a time; only k rows a
     query and block are shuffled. The work is quadratic; see the hashed index for less."""
-    n = max(1, -(-vectors.count() // block))
-    packed = (
-        vectors.where(F.col(vec).isNotNull())
-        .select(F.col(id_col).cast("long").alias("id"), doubles(vec).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n)).alias("b"))
-        .groupBy("b")
-        .agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-        .select("b", "rows.id", F.flatten("rows.v").alias("v"))
-    )
-    left = packed.select(F.col("id").alias("qi"), F.col("v").alias("qv"))
-    right = packed.select(F.col("id").alias("di"), F.col("v").alias("dv"))
+
+    def packed(t: DataFrame) -> tuple[DataFrame, int]:
+        n = max(1, -(-t.count() // block))
+        rows = t.where(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias("id"), doubles(vec).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n)).alias("b"))
+        return rows.groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias("rows")).select("rows.id", F.flatten("rows.v").alias("v")), n
+
+    data, n = packed(vectors)
+    asked, m = packed(queries) if queries is not None else (data, n)
+    left, right = asked.toDF("qi", "qv"), data.toDF("di", "dv")
 
     def unit(ids, flat):
         x = np.asarray(flat, float).reshape(len(ids), -1)
@@ -131,8 +130,7 @@ def knn(vectors: DataFrame, k: int = 10, id_col: str = "word_id", vec: str = "ve
                     yield pa.RecordBatch.from_arrays([pa.array(qi[at + i]), pa.array(di[j]), pa.array(s[i, j])], ["q", "d", "s"])
 
     # every two partitions are one task; the product itself is never shuffled
-    parts = min(n, 64)
-    both = left.repartition(parts).crossJoin(right.repartition(parts))
+    both = left.repartition(min(m, 64)).crossJoin(right.repartition(min(n, 64)))
     met = both.mapInArrow(meet, "q long, d long, s double")
     w = Window.partitionBy("q").orderBy(F.desc("s"), "d")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(id_col), F.col("d").alias("neighbor"), F.col("s").alias("similarity"), "rank")

@@ -6,6 +6,7 @@ both sides; vectors are shown one component a row.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import numpy as np
@@ -88,13 +89,6 @@ def query_expansion(spark, sf_dir):
     return search.expand_query(emb(spark, sf_dir), 0, 5, "vec_id", order="vec_id")
 
 
-@query(f"""WITH p AS (SELECT a.vec_id, b.vec_id AS neighbor, list_cosine_similarity(a.e, b.e) AS s FROM {_E} a JOIN {_E} b ON a.vec_id <> b.vec_id),
-    r AS (SELECT *, (row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, neighbor))::INT AS rank FROM p)
-    SELECT vec_id, neighbor, round(s, 6) AS similarity, rank FROM r WHERE rank <= 5""")
-def knn_all_pairs(spark, sf_dir):
-    return search.knn(emb(spark, sf_dir), 5, "vec_id").withColumn("similarity", r6("similarity"))
-
-
 @query(f"SELECT vec_id, round(list_cosine_similarity(e, f), 6) AS similarity, round(1 - list_cosine_similarity(e, f), 6) AS distance FROM {_NEXT}")
 def pair_similarity(spark, sf_dir):
     return next_to(emb(spark, sf_dir)).select("vec_id", r6(vector.cosine("vec", "vec2")).alias("similarity"), r6(vector.cosine_distance("vec", "vec2")).alias("distance"))
@@ -160,9 +154,23 @@ def int8_error(spark, sf_dir):
     return quantize.reconstruction_error(emb(spark, sf_dir)).select(F.round("error", 8).alias("error"))
 
 
-@query()
+# the spacing of 16-bit floats near x
+_ULP = "(2.0::DOUBLE ** (greatest(floor(log2(greatest(abs(x), 1e-30))), -14) - 10))"
+
+
+@query(f"SELECT round(avg(abs(x - round_even(x / {_ULP}, 0) * {_ULP})), 9) AS error FROM (SELECT unnest(e) AS x FROM {_E})")
 def fp16_error(spark, sf_dir):
-    return quantize.reconstruction_error(emb(spark, sf_dir), "fp16")
+    return quantize.reconstruction_error(emb(spark, sf_dir), "fp16").select(F.round("error", 9).alias("error"))
+
+
+@query(f"SELECT round(list_cosine_similarity(list_transform(a.e, lambda x: round(x / a.s)), list_transform(b.e, lambda x: round(x / b.s))), 6) AS similarity FROM {_Q} a, {_Q} b WHERE a.vec_id = 0 AND b.vec_id = 1")
+def quantized_similarity(spark, sf_dir):
+    return quantize.quantized_similarity(quantize.quantize(emb(spark, sf_dir)), 0, 1, "vec_id").select(r6("similarity").alias("similarity"))
+
+
+@query(f"SELECT vec_id, label, round(list_sum(e), 6) AS total FROM {_E} WHERE vec_id = 7")
+def vector_lookup(spark, sf_dir):
+    return search.lookup(emb(spark, sf_dir), 7, "vec_id").select("vec_id", "label", r6(vector.total("vec")).alias("total"))
 
 
 _ATT = "(0.5 + 0.5 * tanh(list_cosine_similarity(e, f)))"
@@ -180,38 +188,46 @@ def fusion_concat(spark, sf_dir):
     return next_to(emb(spark, sf_dir)).select("vec_id", F.size(c).alias("size"), r6(vector.total(c)).alias("total"), r6(vector.cosine_or_zero("vec", "vec2")).alias("cross_modal"))
 
 
-_LSH = f"""planes AS (SELECT t, p, list(2 * {_u("1", "t", "p", "d")} - 1 ORDER BY d) AS plane FROM range(4) a(t), range(32) b(p), range(64) c(d) GROUP BY t, p),
-    b AS (SELECT t::INT AS table_id, sum(CASE WHEN list_dot_product(e, plane) > 0 THEN 1::BIGINT << p ELSE 0 END)::BIGINT AS bucket, vec_id FROM {_E}, planes GROUP BY t, vec_id)"""
+#: Tables and planes, for a recall@10 of 0.9 on the vectors of the tables, whose nearest neighbours have cosines of only about 0.3.
+_TABLES, _PLANES = 64, 6
+#: Queries are the rows whose id is divisible by this; all rows are searched.
+_ASKED = 50
+_LSH = f"""planes AS (SELECT t, p, list(2 * {_u("1", "t", "p", "d")} - 1 ORDER BY d) AS plane FROM range({_TABLES}) a(t), range({_PLANES}) b(p), range(64) c(d) GROUP BY t, p),
+    b AS MATERIALIZED (SELECT t::INT AS table_id, sum(CASE WHEN list_dot_product(e, plane) > 0 THEN 1::BIGINT << p ELSE 0 END)::BIGINT AS bucket, vec_id FROM {_E}, planes GROUP BY t, vec_id)"""
+_EXACT = f"SELECT a.vec_id AS query, b.vec_id AS neighbor, list_cosine_similarity(a.e, b.e) AS s FROM {_E} a JOIN {_E} b ON a.vec_id <> b.vec_id WHERE a.vec_id % {_ASKED} = 0"
+
+
+def _top(pairs: str, k: int, query: str = "query") -> str:
+    return f"SELECT query AS {query}, neighbor, round(s, 6) AS similarity, (row_number() OVER (PARTITION BY query ORDER BY s DESC, neighbor))::INT AS rank FROM ({pairs}) QUALIFY rank <= {k}"
+
+
+def asked(v: DataFrame) -> DataFrame:
+    return v.where(F.col("vec_id") % _ASKED == 0)
 
 
 @query(f"WITH {_LSH} SELECT * FROM b")
 def lsh_buckets(spark, sf_dir):
-    return ann.LshIndex(64).buckets(emb(spark, sf_dir), "vec_id")
+    return ann.LshIndex(64, _TABLES, _PLANES).buckets(emb(spark, sf_dir), "vec_id")
 
 
-@query(f"""WITH {_LSH}, c AS (SELECT DISTINCT x.vec_id AS query, y.vec_id AS neighbor FROM b x JOIN b y ON x.table_id = y.table_id AND x.bucket = y.bucket AND x.vec_id <> y.vec_id),
-    s AS (SELECT query, neighbor, list_cosine_similarity(q.e, n.e) AS s FROM c JOIN {_E} q ON q.vec_id = query JOIN {_E} n ON n.vec_id = neighbor)
-    SELECT query, neighbor, round(s, 6) AS similarity, (row_number() OVER (PARTITION BY query ORDER BY s DESC, neighbor))::INT AS rank FROM s QUALIFY rank <= 10""")
+@query(f"""WITH {_LSH}, c AS (SELECT DISTINCT x.vec_id AS query, y.vec_id AS neighbor FROM b x JOIN b y ON x.table_id = y.table_id AND x.bucket = y.bucket AND x.vec_id <> y.vec_id WHERE x.vec_id % {_ASKED} = 0),
+    s AS (SELECT query, neighbor, list_cosine_similarity(q.e, n.e) AS s FROM c JOIN {_E} q ON q.vec_id = query JOIN {_E} n ON n.vec_id = neighbor) {_top("SELECT * FROM s", 10)}""")
 def lsh_topk(spark, sf_dir):
     v = emb(spark, sf_dir)
-    return ann.LshIndex(64).query(v, v, 10, "vec_id").withColumn("similarity", r6("similarity"))
-
+    return ann.LshIndex(64, _TABLES, _PLANES).query(v, asked(v), 10, "vec_id").withColumn("similarity", r6("similarity"))
 
-#: Tables and planes of lsh_topk_wide, for a recall@10 of 0.9 on the embeddings, whose nearest neighbours have cosines of only about 0.3.
-LSH_WIDE = (64, 6)
 
-
-@query()
-def lsh_topk_wide(spark, sf_dir):
-    """Hyperplane hashing with buckets wide enough to have company; those of lsh_topk, which its SQL fixes, have none."""
+@query(_top(_EXACT, 10))
+def hnsw_topk(spark, sf_dir):
+    """With a beam as wide as here the graph finds all neighbours in tables of the tests' size."""
     v = emb(spark, sf_dir)
-    return ann.LshIndex(64, *LSH_WIDE).query(v, v, 10, "vec_id").withColumn("similarity", r6("similarity"))
+    return ann.hnsw_search(v, asked(v), 10, ef_search=512, id_col="vec_id").withColumn("similarity", r6("similarity"))
 
 
-@query()
-def hnsw_topk(spark, sf_dir):
+@query(_top(_EXACT, 5, "vec_id"))
+def knn_all_pairs(spark, sf_dir):
     v = emb(spark, sf_dir)
-    return ann.hnsw_search(v, v, 10, id_col="vec_id").withColumn("similarity", r6("similarity"))
+    return search.knn(v, 5, "vec_id", queries=asked(v)).withColumn("similarity", r6("similarity"))
 
 
 _SQ = "list_sum(list_transform(list_zip(e, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
@@ -288,14 +304,68 @@ def _file_round_trip(save, read):
     return run
 
 
-for _name, _save, _read in (("word2vec_text", formats.save_word2vec, formats.read_word2vec_text), ("word2vec_binary", formats.save_word2vec_binary, formats.read_word2vec_binary), ("embd", formats.save_embd, formats.read_embd)):
+def _read_numpy(spark: SparkSession, path: str) -> DataFrame:
+    x = np.load(path if path.endswith(".npy") else f"{path}.npy", mmap_mode="r") if not os.path.exists(path) else np.load(path)
+    return spark.createDataFrame([(str(i), r.tolist()) for i, r in enumerate(x)], "word string, vec array<float>")
+
+
+def _read_json(spark: SparkSession, path: str) -> DataFrame:
+    pairs = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<array<string>>")).alias("p"))
+    return pairs.select(F.col("p")[0].alias("word"), F.from_json(F.col("p")[1], "array<float>").alias("vec"))
+
+
+def _read_lines(spark: SparkSession, path: str) -> DataFrame:
+    parts = F.split("value", "\t")
+    return spark.read.text(path).select(parts[0].alias("word"), F.split(parts[1], ",").cast("array<float>").alias("vec"))
+
+
+def _headless(v: DataFrame, path: str) -> None:
+    formats.word2vec_lines(v).write.text(path)
+
+
+def _renamed(save, suffix: str):
+    return lambda v, path: save(v, path + suffix)
+
+
+def _detected(suffix: str):
+    return lambda spark, path: formats.read_pretrained(spark, path + suffix)
+
+
+_EXACTLY, _SIX = "round(unnest(e), 6)", "round(printf('%.6f', unnest(e))::FLOAT::DOUBLE, 6)"
+for _name, _save, _read, _cell in (
+    ("word2vec_text", formats.save_word2vec, formats.read_word2vec_text, _SIX), ("word2vec_binary", formats.save_word2vec_binary, formats.read_word2vec_binary, _EXACTLY), ("embd", formats.save_embd, formats.read_embd, _EXACTLY),
+    ("headless_text", _headless, lambda spark, path: formats.read_word2vec_text(spark, path, header=False), _SIX), ("numpy", formats.save_numpy, _read_numpy, _EXACTLY), ("json", formats.save_json, _read_json, _EXACTLY), ("text", formats.save_text, _read_lines, _EXACTLY),
+    ("detected_binary", _renamed(formats.save_embd, ".bin"), _detected(".bin"), _EXACTLY), ("detected_text", _renamed(formats.save_word2vec, ".vec"), _detected(".vec"), _SIX),
+):
     _f = _file_round_trip(_save, _read)
     _f.__name__ = f"{_name}_round_trip"
     # the text has six decimals of each 32-bit number, which is then a 32-bit number again
-    _cell = "round(printf('%.6f', unnest(e))::FLOAT::DOUBLE, 6)" if _name == "word2vec_text" else "round(unnest(e), 6)"
     query(f"SELECT vec_id::VARCHAR AS word, (generate_subscripts(e, 1) - 1)::INT AS i, {_cell} AS x FROM {_E}")(_f)
 
 
+@query(f"SELECT 'w' || vec_id AS word1, 'v' || label AS word2, round(round(e[1], 4)::FLOAT::DOUBLE, 4) AS score FROM {_E} WHERE vec_id % 3 <> 0")
+def benchmark_file(spark, sf_dir):
+    """Lines of pairs, of which every third is a comment, blank, short or without a number."""
+    path = shared_path(spark, "pairs")
+    bad = F.array(F.lit("# no pair"), F.lit(""), F.lit("a\tb"), F.lit("a\tb\tc"))
+    good = F.concat_ws("\t", F.concat(F.lit(" W"), "vec_id"), F.concat(F.lit("V"), "label"), F.format_string("%.4f", F.round(F.col("vec")[0].cast("double"), 4)))
+    emb(spark, sf_dir).select(F.when(F.col("vec_id") % 3 == 0, bad[(F.col("vec_id") % 4).cast("int")]).otherwise(good).alias("value")).write.text(path)
+    return formats.read_benchmark(spark, path).withColumn("score", F.round(F.col("score").cast("double"), 4))
+
+
+@query("SELECT (row_number() OVER (ORDER BY doc_id) - 1) AS doc_id, sha1(text) AS digest FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents UNION ALL SELECT max(doc_id) FROM documents)")
+def files_as_texts(spark, sf_dir):
+    """The first and the last document, each written as a file and read whole."""
+    folder = formats.plain(shared_path(spark, "texts"))
+    os.makedirs(folder)
+    d = docs(spark, sf_dir)
+    for name, which in (("a", F.min), ("b", F.max)):
+        first = d.join(F.broadcast(d.agg(which("doc_id").alias("doc_id"))), "doc_id").first()
+        with open(f"{folder}/{name}.txt", "w", encoding="utf-8", newline="") as f:
+            f.write(first["text"])
+    return formats.whole_text(spark, folder).select("doc_id", F.sha1("text").alias("digest"))
+
+
 # --- texts ---
 
 
@@ -339,9 +409,9 @@ def strip_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.strip_urls(F.concat(F.lit("see "), "url", F.lit(" now"))).alias("text"))
 
 
-@query("SELECT * FROM (VALUES (0, 0, 'i cannot do this'), (0, 1, 'it is a test'), (1, 0, 'they wont they will not')) t(doc_id, sent_id, words)")
+@query(f"SELECT doc_id, sent_id, array_to_string(words, ' ') AS words FROM {_sents('documents', 'doc_id', _CLEAN.format('X')).replace('lower(X)', chr(39).join(['replace(lower(text), ', ' the ', ', ', ' it is the ', ')']))}")
 def contractions(spark, sf_dir):
-    d = spark.createDataFrame([(0, "I can't do this. It's a test."), (1, "they won't, they won't")], "doc_id int, text string")
+    d = docs(spark, sf_dir).withColumn("text", F.replace(F.lower("text"), F.lit(" the "), F.lit(" it's the ")))
     return text.sentences(d, text.TextProcessor(expand_contractions=True)).select("doc_id", "sent_id", F.array_join("words", " ").alias("words"))
 
 
@@ -361,11 +431,14 @@ def context_pairs(spark, sf_dir):
     return windows.context_pairs(_sentences(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_pairs"))
 
 
-@query(f"""WITH t AS MATERIALIZED {_T}, o AS (SELECT word AS target, lead(word, 1) OVER w AS c1, lead(word, 2) OVER w AS c2 FROM t WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY pos)),
-    p AS (SELECT target, c1 AS context FROM o UNION ALL SELECT target, c2 FROM o UNION ALL SELECT c1, target FROM o UNION ALL SELECT c2, target FROM o)
-    SELECT target, context, count(*) AS n FROM p WHERE target IS NOT NULL AND context IS NOT NULL GROUP BY ALL HAVING n >= 5""")
+_AHEAD = ", ".join(f"lead(word, {d}) OVER w" for d in range(1, 6))
+
+
+@query(f"""WITH t AS MATERIALIZED {_T}, o AS (SELECT word AS a, unnest([{_AHEAD}]) AS b FROM t WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY pos)),
+    p AS (SELECT a, b, count(*) AS n FROM o WHERE b IS NOT NULL GROUP BY ALL)
+    SELECT target, context, sum(n)::BIGINT AS n FROM (SELECT a AS target, b AS context, n FROM p UNION ALL SELECT b, a, n FROM p) GROUP BY ALL""")
 def cooccurrence(spark, sf_dir):
-    return windows.cooccurrence(_sentences(spark, sf_dir), 2, 5)
+    return windows.cooccurrence(_sentences(spark, sf_dir))
 
 
 @query(f"SELECT word_id, word, round(pow(freq, 0.75) / sum(pow(freq, 0.75)) OVER (), 9) AS p FROM {_V}")
@@ -399,10 +472,10 @@ def _subs(w: str, a: int, b: int) -> str:
     return f"flatten(list_transform(range({a}, {b} + 1), lambda k: list_transform(range(1, length({w}) - k + 2), lambda i: substr({w}, i, k))))"
 
 
-@query(f"SELECT gram, sum(freq)::BIGINT AS n FROM (SELECT freq, unnest({_subs(chr(39) + '<' + chr(39) + ' || word || ' + chr(39) + '>' + chr(39), 3, 5)}) AS gram FROM {_V}) GROUP BY gram")
+@query(f"SELECT gram, sum(freq)::BIGINT AS n FROM (SELECT freq, unnest({_subs(chr(39) + '<' + chr(39) + ' || word || ' + chr(39) + '>' + chr(39), 3, 6)}) AS gram FROM {_V}) GROUP BY gram")
 def char_ngrams(spark, sf_dir):
     v = vocab.build_vocab(docs(spark, sf_dir))
-    return v.select("freq", F.explode(tokenizers.char_ngrams(F.col("word"), 3, 5)).alias("gram")).groupBy("gram").agg(F.sum("freq").alias("n"))
+    return v.select("freq", F.explode(tokenizers.char_ngrams(F.col("word"), 3, 6)).alias("gram")).groupBy("gram").agg(F.sum("freq").alias("n"))
 
 
 @query(f"SELECT c[i] AS left, c[i + 1] AS right, sum(freq)::BIGINT AS n FROM (SELECT freq, c, unnest(range(1, len(c))) AS i FROM (SELECT freq, list_append(string_split(word, ''), '</w>') AS c FROM {_V})) GROUP BY ALL")
@@ -479,12 +552,12 @@ def document_vectors(spark, sf_dir):
     return components(transfer.document_vectors(_sentences(spark, sf_dir), v, dim=4), ["doc_id"])
 
 
-@query(f"""WITH w AS (SELECT word, unnest({_subs(chr(39) + '<' + chr(39) + ' || word || ' + chr(39) + '>' + chr(39), 3, 4)}) AS gram FROM {_V})
+@query(f"""WITH w AS (SELECT word, unnest({_subs(chr(39) + '<' + chr(39) + ' || word || ' + chr(39) + '>' + chr(39), 3, 6)}) AS gram FROM {_V})
     SELECT word, round(avg(({_u('1', 'gram', '0')} - 0.5)::FLOAT::DOUBLE), 6) AS x FROM w GROUP BY word""")
 def subword_vectors(spark, sf_dir):
     v = vocab.build_vocab(docs(spark, sf_dir)).select("word")
-    grams = v.select(F.explode(tokenizers.char_ngrams(F.col("word"), 3, 4)).alias("word")).distinct().select(F.lit(0).alias("word_id"), "word")
-    e = transfer.subword_vectors(v, init_vectors(grams, 1).select(F.col("word").alias("gram"), "vec"), 3, 4, dim=1)
+    grams = v.select(F.explode(tokenizers.char_ngrams(F.col("word"), 3, 6)).alias("word")).distinct().select(F.lit(0).alias("word_id"), "word")
+    e = transfer.subword_vectors(v, init_vectors(grams, 1).select(F.col("word").alias("gram"), "vec"), 3, 6, dim=1)
     return e.select("word", r6(F.col("vec")[0]).alias("x"))
 
 
