@@ -2,6 +2,7 @@
 
 import glob
 import gzip
+import hashlib
 import re
 from collections import Counter
 
@@ -124,7 +125,7 @@ def test_archives_round_trip(spark):
     kinds = Counter((m["record"], m["new_type"], m["original"]) for m in manifest)
     assert kinds == {("r1", "revisit", "r2"): 1, ("r2", "response", "r2"): 2, ("r3", "revisit", "r2"): 1, ("r4", "unresolved", None): 1, ("r5", "response", "r5"): 1, ("r6", "response", "r6"): 1, ("r7", "response", "r7"): 1}
     back = {r["record"]: r for r in warc.read_archives(spark, folder).collect()}
-    assert back["r2"]["payload"] == "one" and back["r7"]["payload"] == "é" * 100_000 and back["r5"]["payload"] == ""
+    assert back["r2"]["payload"] == b"one" and back["r7"]["payload"] == ("é" * 100_000).encode() and back["r5"]["payload"] == b""
     assert back["r1"]["warc_type"] == "revisit" and back["r1"]["refers_to"] == "r2" and back["r1"]["digest"] == "aa" * 20
     for m in manifest:  # every record can be read alone from its place
         with open(f"{local(folder)}/{m['archive']}", "rb") as f:
@@ -163,7 +164,97 @@ def test_pages_that_share_an_id_against_the_sql(spark, tmp_path):
     want = duckdb.sql(f"WITH pages AS (SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')), q AS ({llm.SQL['op4_warc_revisits']}) SELECT {', '.join(names)} FROM q").fetchall()
     assert Counter(map(tuple, got)) == Counter(want) and len(want) == 18
     back = warc.read_archives(spark, folder).collect()
-    assert Counter(r["payload"] for r in back if r["warc_type"] == "response") == Counter({"x": 1, "y": 1, "z": 1, "w": 1, "v": 1, "": 1})
+    assert Counter(r["payload"] for r in back if r["warc_type"] == "response") == Counter({b"x": 1, b"y": 1, b"z": 1, b"w": 1, b"v": 1, b"": 1})
+
+
+def mixed_archive() -> tuple[list[tuple[list, bytes]], list[bytes]]:
+    """Records of many types, and each as a gzip member."""
+    png = bytes(range(256)) * 40
+    sha = lambda b: warc.base32_sha1(hashlib.sha1(b).hexdigest())
+    page = "caf\u00e9".encode("latin-1")
+    http = [b"HTTP/1.1 404 Not Found\r\nContent-Type: image/png\r\nX-A: 1\r\n\r\n", b"HTTP/1.0 200 OK\r\nServer: s\r\n\r\n"]
+
+    def fields(kind, name, *more):
+        return [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), *more]
+
+    found = [
+        (fields("warcinfo", "i", ("Content-Type", "application/warc-fields"), ("WARC-Filename", "x.warc.gz")), b"software: none\r\n"),
+        (fields("request", "q", ("WARC-Target-URI", "http://a/"), ("Content-Type", "application/http;msgtype=request")), b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        (fields("response", "1", ("WARC-Target-URI", "http://a/"), ("WARC-Payload-Digest", sha(png))), http[0] + png),
+        (fields("response", "2", ("WARC-Target-URI", "http://b/"), ("WARC-Payload-Digest", sha(page))), http[1] + page),
+        (fields("response", "3", ("WARC-Target-URI", "http://c/"), ("WARC-Payload-Digest", sha(page))), http[1] + page),
+        (fields("revisit", "4", ("WARC-Target-URI", "http://a/"), ("WARC-Payload-Digest", sha(png))), http[0]),
+        (fields("metadata", "m", ("WARC-Concurrent-To", "<urn:uuid:1>")), b"via: \xff\x00\r\n\r\nrest"),
+        (fields("response", "5", ("WARC-Target-URI", "dns:a"), ("Content-Type", "text/dns"), ("WARC-IP-Address", "10.0.0.1"), ("WARC-Payload-Digest", sha(b"1.2.3.4"))), b"1.2.3.4"),
+    ]
+    return found, [warc.member(f, b) for f, b in found]
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_mixed_archives_lose_nothing(spark, tmp_path, plain):
+    found, members = mixed_archive()
+    if plain:
+        members = [gzip.decompress(m) for m in members]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.warc").write_bytes(b"".join(members))
+    read = warc.read_archives(spark, str(tmp_path / "in"))
+    rows = {r["record"][-1]: r for r in read.collect()}
+    assert len(rows) == 8 and rows["1"]["http"].startswith(b"HTTP/1.1 404") and rows["1"]["payload"] == bytes(range(256)) * 40 and rows["2"]["payload"] == b"caf\xe9" and rows["5"]["http"] == b""
+    folder = shared_path(spark, "warc")
+    kinds = {m["record"][-1]: m["new_type"] for m in warc.deduplicated(read, folder).collect()}
+    assert kinds == {"i": "warcinfo", "q": "request", "1": "response", "2": "response", "3": "revisit", "4": "revisit", "m": "metadata", "5": "response"}
+    back = {r["record"][-1]: r for r in warc.read_archives(spark, folder).collect()}
+    for fields, block in found:
+        r = back[fields[1][1].strip("<>")[-1]]
+        got = (r["http"] or b"") + (r["payload"] or b"")
+        name = r["record"][-1]
+        assert got == (block.partition(b"\r\n\r\n")[0] + b"\r\n\r\n" if name == "3" else block)
+        if name in "iqm":  # as they were, every field
+            assert [(f["name"], f["value"]) for f in r["fields"]] == [*fields, ("Content-Length", str(len(block)))]
+    assert {("Content-Type", "text/dns"), ("WARC-IP-Address", "10.0.0.1")} <= {(f["name"], f["value"]) for f in back["5"]["fields"]}
+    assert back["3"]["refers_to"] == "urn:uuid:2" and back["4"]["refers_to"] == "urn:uuid:1"
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_damaged_members_are_passed_over_and_told(spark, tmp_path, plain):
+    _, members = mixed_archive()
+    if plain:
+        members = [gzip.decompress(m) for m in members]
+        members[3] = members[3].replace(b"Content-Length", b"Content-Lost")
+    else:
+        members[3] = members[3][:40] + b"\0" * 30 + members[3][70:]
+    (tmp_path / "a.warc").write_bytes(b"junk" + b"".join(members)[: -20 if not plain else -12])
+    rows = warc.read_archives(spark, str(tmp_path), damaged=True).collect()
+    good = [r["record"][-1] for r in rows if r["damage"] is None]
+    assert [x for x in good if x != "2"] == ["i", "q", "1", "3", "4", "m"] and sum(r["damage"] is not None for r in rows) >= 3
+    assert warc.read_archives(spark, str(tmp_path)).count() == len(good)
+    (tmp_path / "a.warc").write_bytes(b"")
+    assert warc.read_archives(spark, str(tmp_path), damaged=True).count() == 0
+
+
+def test_reading_takes_time_in_proportion():
+    import io
+    import time
+
+    one = b"".join(warc.member([("WARC-Type", "resource"), ("WARC-Record-ID", f"<r{i}>")], np.random.default_rng(i).bytes(20_000)) for i in range(50))
+
+    def seconds(n):
+        began = time.process_time()
+        assert sum(1 for _ in warc.records(io.BytesIO(one * n))) == 50 * n
+        return time.process_time() - began
+
+    seconds(2)
+    assert seconds(80) < 10 * 4 * max(seconds(8), 0.01)
+    big = warc.member([("WARC-Type", "resource"), ("WARC-Record-ID", "<b>")], np.random.default_rng(1).bytes(30_000_000))
+    assert [len(b) for _, _, b in warc.records(io.BytesIO(big + one))][:2] == [30_000_000, 20_000]
+
+
+def test_records_with_nulls(spark):
+    rows = [("a", None, "u", "d", None, "x"), ("b", "response", None, None, None, None), ("c", "revisit", None, None, None, None), (None, "response", None, None, None, "y"), ("d", "request", None, None, "zz", "z")]
+    got = {m["record"]: m["new_type"] for m in warc.deduplicated(spark.createDataFrame(rows, RECORDS), shared_path(spark, "warc")).collect()}
+    assert got == {"a": "unknown", "b": "response", "c": "unresolved", "d": "request"}
+    with pytest.raises(ValueError):
+        local("hdfs://cluster/folder")
 
 
 # --- language model ---

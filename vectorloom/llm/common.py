@@ -42,7 +42,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def local(path: str) -> str:
-    """The path by which Python opens a file of a mounted shared folder."""
+    """The path by which Python opens a file of a mounted shared folder; a scheme
+    other than file: has none, and would be a folder of each machine's own, so it is an error."""
+    if re.match(r"^(?!file:)[A-Za-z][A-Za-z0-9+.-]+:/", path):
+        raise ValueError(f"{path}: these files need a shared folder that is mounted as a file system")
     return re.sub(r"^file:/+", "/", path)
 
 
