@@ -1,15 +1,13 @@
 """Personal data and secrets: a character-level bidirectional LSTM with CRF
 transitions, trained in numpy from labelled spans.
 
-Texts are read in overlapping windows; what the windows find is joined over
-the whole document. Every kind of span here holds a digit or "@", only phone
-and card numbers hold white space, and numbers hold no letters; the decoder is constrained to that. A window with neither has one valid path, the
-empty one, so it isn't run through the network; this changes no result.
+Every character of a text runs through the network, in overlapping windows; where
+windows overlap their emissions are averaged, and one Viterbi path is found for the
+whole document. Which kinds hold which characters is learned, not built in.
 """
 
 from __future__ import annotations
 
-import re
 import string
 from functools import lru_cache
 
@@ -18,15 +16,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import network
 from .common import lean
-
-KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SECRET")
-WINDOW, STEP, HIDDEN, EMBED, STEPS, SEQUENCES = 160, 80, 32, 16, 600, 12000
+from .textarray import parts
+
+KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SECRET", "SSN", "IBAN")
+WINDOW, STEP, HIDDEN, EMBED, STEPS, SEQUENCES, LENGTH = 1024, 960, 24, 16, 720, 10000, 72
+#: Characters whose emissions are held at once; a longer text is alone.
+PART = 1_000_000
+#: Marks of the end that a window is read with, as texts are in training.
+PADDING = 8
 _ASCII = {c: i + 1 for i, c in enumerate(string.printable)}
 _OTHER = ("lower", "upper", "digit", "space", "sign")
 CHARS = 1 + len(_ASCII) + len(_OTHER)
 TAGS = 1 + 2 * len(KINDS)
-_TRIGGER = re.compile(r"[@\d]")
 
 
 def _code(c: str) -> int:
@@ -78,34 +81,55 @@ class Examples:
         d = self.digits
         return self.pick([
             f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+1 ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+1-{d(3)}-{d(3)}-{d(4)}", f"+1 {d(3)} {d(3)} {d(4)}",
-            f"+{d(2)} {d(3)} {d(3)} {d(3)}", f"+{d(2)} {d(2)} {d(4)} {d(4)}", f"+{d(2)}{d(9)}", f"{d(3)}.{d(3)}.{d(4)}",
+            f"+{d(2)} {d(3)} {d(3)} {d(3)}", f"+{d(2)} {d(2)} {d(4)} {d(4)}", f"+{d(2)}{d(9)}", f"{d(3)}.{d(3)}.{d(4)}", f"+{d(2)} {d(3)} {d(7)}",
         ])
 
     def ip(self) -> str:
+        if self.rng.random() < 0.3:
+            h = lambda: "".join(self.pick("0123456789abcdef") for _ in range(self.rng.integers(1, 5)))
+            return self.pick([":".join(h() for _ in range(8)), f"{h()}:{h()}::{h()}", f"{h()}:{h()}:{h()}::{h()}:{h()}", f"fe80::{h()}:{h()}", f"2001:db8::{h()}:{h()}"])
         return ".".join(str(self.rng.integers(1, 256)) for _ in range(4))
 
     def card(self) -> str:
         a = "45"[self.rng.integers(2)] + self.digits(15)
-        return self.pick([a, a, a, " ".join(a[i : i + 4] for i in range(0, 16, 4)), "-".join(a[i : i + 4] for i in range(0, 16, 4)), self.pick("123678") + a[1:], "3" + a[:14]])
+        return self.pick([a, a, a, " ".join(a[i : i + 4] for i in range(0, 16, 4)), " ".join(a[i : i + 4] for i in range(0, 16, 4)), "-".join(a[i : i + 4] for i in range(0, 16, 4)), self.pick("123678") + a[1:], "3" + a[:14]])
+
+    def letters(self, alphabet: str, least: int, most: int) -> str:
+        return "".join(self.pick(alphabet) for _ in range(self.rng.integers(least, most)))
 
     def secret(self) -> tuple[str, str]:
         """What stands before the secret, and the secret."""
-        hexes = "".join(self.pick("0123456789abcdef") for _ in range(self.rng.integers(16, 44)))
-        upper = "".join(self.pick(string.ascii_uppercase + string.digits) for _ in range(16))
-        mixed = "".join(self.pick(string.ascii_letters + string.digits) for _ in range(self.rng.integers(20, 40)))
-        key = self.pick(["token", "api_key", "secret", "password", "passwd", "key", "auth"])
-        return self.pick([("", "AKIA" + upper), ("", "AKIA" + upper), (f'{key} = "', hexes), (f'token = "', hexes), (f"{key}=", hexes), ("password=", hexes[:18]), (f"{key}: ", hexes), ("", "sk-" + mixed), ("", "ghp_" + mixed)])
+        some, lower, letters = string.ascii_letters + string.digits, string.ascii_lowercase, string.ascii_letters
+        hexes, upper = self.letters("0123456789abcdef", 16, 44), self.letters(string.ascii_uppercase + string.digits, 16, 17)
+        mixed = self.letters(self.pick([some, some, lower, letters, lower + string.digits]), 20, 40)
+        key = self.pick(["token", "api_key", "secret", "password", "passwd", "key", "auth", "apikey", "access_token"])
+        word = self.pick([self.word() + self.word() + self.word(), self.letters(lower, 9, 22), self.letters(some, 8, 24), self.word() + self.digits(3) + self.pick("!#$")])[:30].replace(" ", "")
+        return self.pick([
+            ("", "AKIA" + upper), ("", "AKIA" + upper), (f'{key} = "', hexes), ('token = "', hexes), (f"{key}=", hexes), ("password=", hexes[:18]), (f"{key}: ", hexes), ("", "sk-" + mixed), ("", "ghp_" + mixed),
+            (f"{key}=", word), ("password=", word), (f'{key} = "', word), (f"{key}: ", mixed), ("", "sk-" + self.letters(lower, 22, 34)), ("", "xoxb-" + self.digits(11) + "-" + mixed[:20]), ("Bearer ", mixed + "." + mixed[:20]),
+        ])
+
+    def ssn(self) -> tuple[str, str]:
+        d = self.digits
+        return self.pick(["", "", "SSN ", "SSN: ", "ssn "]), f"{d(3)}-{d(2)}-{d(4)}"
+
+    def iban(self) -> tuple[str, str]:
+        land = self.pick(["DE", "FR", "ES", "GB", "NL", "IT", "CH", "AT"])
+        body = self.digits(2) + ("".join(self.pick(string.ascii_uppercase) for _ in range(4)) if land in ("GB", "NL") else "") + self.digits(int(self.rng.integers(14, 20)))
+        x = land + body
+        return self.pick(["", "", "IBAN ", "IBAN: "]), self.pick([x, " ".join(x[i : i + 4] for i in range(0, len(x), 4))])
 
     def harmless(self) -> str:
         d, r = self.digits, self.rng.integers
         return self.pick([
             f"{d(1)}.{d(1)}.", f"Version {d(1)}.{d(1)}.", f"version {d(1)}.", f"{d(1)}.{d(1)}.{d(1)}", str(r(1, 3000)), f"{d(2)}%", f"${d(3)}", f"{r(1, 13)}/{r(1, 29)}/{r(1900, 2030)}", f"{r(1900, 2030)}",
             f"{r(1900, 2030)}-{r(10, 13)}-{r(10, 29)}", f"{r(1, 24)}:{d(2)}", f"({r(1, 99)})", f"{d(1)},{d(3)}", f"{d(1)},{d(3)},{d(3)}", f"No. {d(r(1, 5))}", f"[{d(1)}]", f"{d(2)}-{d(2)}", f"{d(1)}th", "CC BY-NC 4.0.", "License, Version 2.0.", "version 3.", "@", f"@ {self.word()}",
-            f"{d(1)}.{d(2)}", f"{d(3)} {self.word()}", f"{self.word()}{d(1)}", f"ISO {d(4)}", f"{d(5)}",
+            f"{d(1)}.{d(2)}", f"{d(3)} {self.word()}", f"{self.word()}{d(1)}", f"ISO {d(4)}", f"{d(5)}", f"ISBN 978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"ISBN {d(1)}-{d(3)}-{d(5)}-{d(1)}", f"order {r(1990, 2030)}-{r(10, 13)}-{r(10, 29)}-{d(4)}", f"{r(10, 29)}.{r(10, 13)}.{r(1900, 2030)}", f"{r(10, 29)}.0{r(1, 10)}.{r(1900, 2030)}", f"{r(1900, 2030)}-0{r(1, 10)}-{r(10, 29)}", f"v{d(1)}.{d(1)}.{d(1)}", f"{d(2)}:{d(2)}:{d(2)}", f"@{self.name()}", f"{self.name()}@", f"#{d(4)}", f"{d(4)}-{d(4)}",
+            "password", "the password is", "token", "secret key", "api", "sk-" + self.name()[:6], f"key: {self.word()}", f"http://{self.name()}.org/{self.name()}", f"{self.name()}-{self.name()}", f"{self.name()}_{self.name()}", self.word() + self.word() + self.word(), self.letters(string.ascii_uppercase, 2, 9), f"{d(1)} {self.word()}", f"{d(10)}", f"pp. {d(3)}-{d(3)}", f"{d(1)}.{d(1)}.{d(1)}.", f"{d(2)} {self.word()} {d(4)}",
         ])
 
     def text(self) -> tuple[str, np.ndarray]:
-        """A text and the tag of each character."""
+        """A text and the tag of each character. Every third has no span."""
         out, tags = [], []
 
         def add(s: str, kind: int | None = None):
@@ -113,13 +137,13 @@ class Examples:
                 out.append(s)
                 tags.extend([0] * len(s) if kind is None else [1 + 2 * kind] + [2 + 2 * kind] * (len(s) - 1))
 
-        style = self.rng.integers(6)
-        for _ in range(self.rng.integers(3, 13)):
+        style, spans = self.rng.integers(6), 0.25 if self.rng.random() < 0.67 else 0.0
+        for _ in range(self.rng.integers(3, 16)):
             roll = self.rng.random()
-            if roll < 0.25:
+            if roll < spans:
                 kind = int(self.rng.integers(len(KINDS)))
-                if kind == 4:
-                    lead, s = self.secret()
+                if kind >= 4:
+                    lead, s = (self.secret, self.ssn, self.iban)[kind - 4]()
                     add(lead)
                     add(s, kind)
                     add('"' if lead.endswith('"') else "")
@@ -128,7 +152,7 @@ class Examples:
             elif roll < 0.42:
                 add(self.harmless())
             else:
-                w = self.word()
+                w = self.word() + (self.word() if self.rng.random() < 0.2 else "")
                 add(w.capitalize() if self.rng.random() < 0.15 else w)
             add(self.pick(["###", "$$$", "%%%", "&&&", "***", ",***", ".###"]) if style == 0 else self.pick(["!!", ".!!", ",!!"]) if style == 1 else self.pick(["", "", "", "", ",", ".", ";", ":", ")"]))
             add(" | " if style == 2 else self.pick([" ", " ", " ", " ", " ", "\n"]))
@@ -212,27 +236,12 @@ def _allowed() -> np.ndarray:
 _FORBIDDEN = np.where(_allowed(), 0, -1e4).astype(np.float32)
 
 
-def _possible() -> np.ndarray:
-    """For every class of character a bar on the kinds that never hold it."""
-    spaces = {i for c, i in _ASCII.items() if c.isspace()} | {1 + len(_ASCII) + _OTHER.index("space")}
-    letters = {i for c, i in _ASCII.items() if c.isalpha()} | {1 + len(_ASCII) + _OTHER.index(k) for k in ("lower", "upper")}
-    out = np.zeros((CHARS, TAGS), np.float32)
-    for classes, kinds in ((spaces, ("EMAIL", "IP", "SECRET")), (letters, ("PHONE", "IP", "CARD"))):
-        for k in kinds:
-            at = 1 + 2 * KINDS.index(k)
-            out[sorted(classes), at : at + 2] = -1e4
-    return out
-
-
-_BARRED = _possible()
+#: Padding is never part of a span; nothing else is barred.
+_BARRED = np.zeros((CHARS, TAGS), np.float32)
+_BARRED[0, 1:] = -1e4
 _START = np.array([0] + [0, -1e4] * len(KINDS), np.float32)
 
 
-def _logsum(x, axis):
-    m = x.max(axis=axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
-
-
 class Tagger:
     """Weights: e (embedding), w/u/b of both directions, v/d (emissions), a (transitions)."""
 
@@ -242,7 +251,7 @@ class Tagger:
         def normal(*s):
             return (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
 
-        self.hidden = hidden
+        self.hidden, self._run = hidden, None
         self.p = {"e": normal(CHARS, embed) * 4, "v": normal(2 * hidden, TAGS), "d": np.zeros(TAGS, np.float32), "a": np.zeros((TAGS, TAGS), np.float32)}
         for k in "fb":
             b = np.zeros(4 * hidden, np.float32)
@@ -257,27 +266,39 @@ class Tagger:
         h = np.concatenate([f, b[::-1]], axis=2)
         return h @ p["v"] + p["d"], h, (f, kf, b, kb)
 
+    def fast(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The emissions alone, of sequences of n characters, by a compiled runtime that takes the trained weights; the rounding differs a little."""
+        if self._run is None:
+            self._run = network.session(self.p, self.hidden)
+        return self._run(np.ascontiguousarray(x.T, np.int32), n.astype(np.int32))
+
+    def __getstate__(self):
+        return self.__dict__ | {"_run": None}
+
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean negative log-likelihood of the tags under the CRF, and its gradients."""
         p, (n, steps) = self.p, x.shape
         em, h, (f, kf, b, kb) = self.emissions(x, True)
         a = p["a"] + _FORBIDDEN
-        alpha, beta = np.empty_like(em), np.zeros_like(em)
-        alpha[0] = em[0] + _START
-        for t in range(1, steps):
-            alpha[t] = _logsum(alpha[t - 1][:, :, None] + a, 1) + em[t]
-        for t in range(steps - 2, -1, -1):
-            beta[t] = _logsum(a + (em[t + 1] + beta[t + 1])[:, None, :], 2)
-        z = _logsum(alpha[-1], 1)
+        # forward and backward sums at the scale of one, so that each step is one product of matrices
+        top = em.max(axis=2)
+        near, way = np.exp(em - top[:, :, None]), np.exp(a)
+        alpha, beta, scale = np.empty_like(em), np.ones_like(em), np.empty((steps, n), em.dtype)
+        for t in range(steps):
+            alpha[t] = near[t] * (np.exp(_START) if t == 0 else alpha[t - 1] @ way)
+            scale[t] = np.maximum(alpha[t].sum(axis=1), 1e-30)
+            alpha[t] /= scale[t][:, None]
+        ahead = np.empty_like(em)
+        for t in range(steps - 1, 0, -1):
+            ahead[t] = near[t] * beta[t] / scale[t][:, None]
+            beta[t - 1] = ahead[t] @ way.T
+        z = (np.log(scale) + top).sum(axis=0)
         rows = np.arange(n)
         gold = sum(em[t][rows, y[:, t]].sum() for t in range(steps)) + a[y[:, :-1], y[:, 1:]].sum()
-        d_em = np.exp(alpha + beta - z[:, None])
-        d_a = np.zeros_like(a)
-        for t in range(1, steps):
-            d_a += np.exp(alpha[t - 1][:, :, None] + a + (em[t] + beta[t])[:, None, :] - z[:, None, None]).sum(axis=0)
+        d_em = alpha * beta
+        d_a = way * np.einsum("tni,tnj->ij", alpha[:-1], ahead[1:], optimize=True)
         np.add.at(d_a, (y[:, :-1].ravel(), y[:, 1:].ravel()), -1)
-        for t in range(steps):
-            d_em[t][rows, y[:, t]] -= 1
+        d_em[np.arange(steps)[:, None], rows[None], y.T] -= 1
         d_em /= n * steps
         g = {"a": d_a / (n * steps), "d": d_em.sum(axis=(0, 1)), "v": np.einsum("tnh,tnk->hk", h, d_em, optimize=True)}
         d_h = d_em @ p["v"].T
@@ -288,7 +309,7 @@ class Tagger:
             de = de + d_table @ p[f"w{k}"].T
         return float((z.sum() - gold) / (n * steps)), g | {"e": de}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, batch: int = 64, rate: float = 0.015) -> Tagger:
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, batch: int = 80, rate: float = 0.018) -> Tagger:
         """Adam with a falling rate and clipped gradients; deterministic."""
         m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         rng = np.random.Generator(np.random.Philox(3))
@@ -326,7 +347,7 @@ class Tagger:
 def trained(sequences: int = SEQUENCES, steps: int = STEPS) -> Tagger:
     """The production model. It is fitted on generated texts with labelled
     spans, always the same, once in a driver process."""
-    x, y = Examples().batch(sequences, 72)
+    x, y = Examples().batch(sequences, LENGTH)
     return Tagger().fit(x, y, steps)
 
 
@@ -334,18 +355,12 @@ def trained(sequences: int = SEQUENCES, steps: int = STEPS) -> Tagger:
 
 
 def window_starts(text: str, window: int = WINDOW, step: int = STEP) -> list[int]:
-    """Starts of the overlapping windows that hold a digit or "@"."""
-    n = len(text)
-    last = max(0, -(-(n - window) // step))
-    starts = set()
-    for m in _TRIGGER.finditer(text):
-        i = m.start()
-        starts.update(range(max(0, (i - window) // step + 1), min(i // step, last) + 1))
-    return [k * step for k in sorted(starts)]
+    """Starts of the overlapping windows that cover the whole text."""
+    return [k * step for k in range(max(0, -(-(len(text) - window) // step)) + 1)]
 
 
 def spans_of(tags: np.ndarray, offset: int) -> list[tuple[int, int, int]]:
-    """(start, end, kind) of the runs of one window's tags."""
+    """(start, end, kind) of the runs of tags."""
     out, at = [], 0
     tags = tags.tolist()
     while at < len(tags):
@@ -361,34 +376,75 @@ def spans_of(tags: np.ndarray, offset: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def reconcile(spans: list[tuple[int, int, int]], text: str) -> list[tuple[int, int, int]]:
-    """One list for the document: overlapping findings of all windows become
-    one span with the kind of the longest (ties: first kind); spans
-    without a digit or "@", which the constraint rules out, are dropped."""
-    out: list[list[int]] = []
-    for s, e, k in sorted(spans):
-        if out and s < out[-1][1]:
-            last = out[-1]
-            if (e - s, -k) > (last[3], -last[2]):
-                last[2], last[3] = k, e - s
-            last[1] = max(last[1], e)
-        else:
-            out.append([s, e, k, e - s])
-    return [(s, e, k) for s, e, k, _ in out if _TRIGGER.search(text, s, e)]
-
-
-def find_spans(texts: list[str | None], model: Tagger, batch: int = 256) -> list[list[tuple[int, int, int]]]:
-    where = [(i, s) for i, t in enumerate(texts) if t for s in window_starts(t)]
-    found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+def averaged(texts: list[str], model: Tagger, batch: int = 64) -> list[np.ndarray]:
+    """The emissions (characters, tags) of whole texts. Where two windows overlap their
+    mean counts, a window the less the nearer its border is."""
+    codes = [encode(t) for t in texts]
+    where = [(min(WINDOW, len(t) - s), i, s) for i, t in enumerate(texts) for s in window_starts(t)]
+    where = sorted(x for x in where if x[0])  # windows of like length go together
+    out = [np.zeros((len(t), TAGS), np.float32) for t in texts]
+    both = WINDOW - STEP
+    ramp = (np.arange(1, both + 1) / (both + 1)).astype(np.float32)[:, None]
     for at in range(0, len(where), batch):
         part = where[at : at + batch]
-        x = np.zeros((len(part), WINDOW), np.int16)
-        for row, (i, s) in zip(x, part):
-            c = encode(texts[i][s : s + WINDOW])
-            row[: len(c)] = c
-        for (i, s), tags in zip(part, model.decode(x)):
-            found[i] += spans_of(tags[: len(texts[i]) - s], s)
-    return [reconcile(f, t) if f else f for f, t in zip(found, texts)]
+        x = np.zeros((len(part), part[-1][0] + PADDING), np.int16)
+        for row, (n, i, s) in zip(x, part):
+            row[:n] = codes[i][s : s + n]
+        em = model.fast(x, np.array([n + PADDING for n, *_ in part]))
+        for k, (n, i, s) in enumerate(part):
+            first, last = both if s else 0, n - both if s + n < len(texts[i]) else n
+            out[i][s + first : s + last] = em[first:last, k]
+            if first:
+                out[i][s : s + first] += em[:first, k] * ramp
+            if last < n:
+                out[i][s + last : s + n] += em[last:n, k] * ramp[::-1]
+    return out
+
+
+def plausible(em: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Which characters can lie in a span on the best path. A span of a kind is on it only if it gains
+    over no span: its first character's B-, the others' I-, and the best transitions into and out of it.
+    A character is out if no span of any kind that holds it can gain. Nothing on the best path is left out."""
+    kinds, after, e = range(1, TAGS, 2), [0, *range(1, TAGS, 2)], np.ascontiguousarray(em.T)
+    into = np.array([max(a[p, b] - a[p, 0] for p in range(TAGS)) for b in kinds])
+    leave = np.array([max(a[t, n] - a[0, n] for t in (b, b + 1) for n in after) for b in kinds])
+    # from a B- to its first I- and on from I- to I-, whichever is better for all
+    stay = np.array([max(a[b, b + 1], a[b + 1, b + 1]) - a[0, 0] for b in kinds])
+    total = np.cumsum((e[2::2] - e[0]).astype(float) + stay[:, None], axis=1)
+    up_to = total + np.maximum.accumulate(e[1::2] - e[0] - total, axis=1)  # the best span so far that holds this character
+    on = np.maximum.accumulate(total[:, ::-1], axis=1)[:, ::-1] - total  # and the best way on
+    return (up_to + on >= (-1e-2 - np.maximum(into, 0) - np.maximum(leave, 0))[:, None]).any(axis=0)
+
+
+def best_spans(em: np.ndarray, a: np.ndarray) -> list[tuple[int, int, int]]:
+    """The spans of the best path through the emissions of a whole text: the
+    Viterbi algorithm, run where spans are plausible; elsewhere the path is known to have none."""
+    keep = plausible(em, a)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], keep, [False]]).astype(np.int8)))
+    found: list[tuple[int, int, int]] = []
+    for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        score = em[s] + (a[0] if s else _START)
+        back = np.empty((e - s, TAGS), np.int8)
+        for t in range(s + 1, e):
+            m = score[:, None] + a
+            back[t - s] = m.argmax(axis=0)
+            score = m.max(axis=0) + em[t]
+        tag = int((score + (a[:, 0] if e < len(em) else 0)).argmax())
+        tags = np.zeros(e - s, np.int8)
+        for t in range(e - s - 1, -1, -1):
+            tags[t] = tag
+            tag = int(back[t, tag]) if t else tag
+        found += spans_of(tags, s)
+    return found
+
+
+def find_spans(texts: list[str | None], model: Tagger) -> list[list[tuple[int, int, int]]]:
+    a = (model.p["a"] + _FORBIDDEN).astype(np.float32)
+    found: list[list[tuple[int, int, int]]] = []
+    for i, j in parts([t or "" for t in texts], PART):
+        some = [t or "" for t in texts[i:j]]
+        found += [best_spans(em, a) if len(em) else [] for em in averaged(some, model)]
+    return found
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -428,7 +484,8 @@ def redact(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
 
 def redacted_documents(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     """docs, all columns and rows, with `text` redacted and, where it is
-    there, `n_chars` its new length for texts that changed."""
+    there, `n_chars` its new length for texts that changed. Null and empty texts stay as they are, as do
+    nulls in other columns; equal rows are treated alike; an empty table gives no rows."""
     model = model or trained()
     schema = docs.schema
 
