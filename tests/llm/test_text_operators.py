@@ -98,6 +98,41 @@ def test_language_rejects_what_is_in_no_profile(spark):
     assert [r["doc_id"] for r in langid.keep_known_languages(odd, p).collect()] == [3]
 
 
+def test_other_languages_of_the_same_letters_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    p = langid.fit_profiles(docs)
+    assert langid.identify(docs, p).where("not accepted").count() == 0
+    rng = np.random.default_rng(0)
+    italian = "la vita è bella e il sole splende sopra le colline mentre gli amici parlano della giornata e mangiano insieme al tavolo del giardino con molta gioia e allegria perché domani sarà festa "
+    noise = " ".join("".join(chr(97 + i) for i in rng.integers(0, 26, rng.integers(2, 10))) for _ in range(400))
+    odd = docs_of(spark, [(1, italian * 5), (2, noise), (3, noise[:1500])])
+    assert [r["accepted"] for r in langid.identify(odd, p).collect()] == [False] * 3 and langid.keep_known_languages(odd, p).count() == 0
+
+
+def test_characters_beyond_twelve_bits_stay_apart():
+    for a, b in (("\u0e01\u0e02\u0e04", "\u4e01\u4e02\u4e04"), ("\u4e00\u4e8c", "\u5e00\u5e8c")):
+        x, y = set(langid.gram_codes(a).tolist()), set(langid.gram_codes(b).tolist())
+        assert len(x) == len(y) > 3 and not x & y
+    mixed = langid.gram_codes("ab \u4e00b")
+    assert set(langid.gram_codes("ab").tolist()) <= set(mixed.tolist()) and (mixed >= 0).all()
+
+
+def test_rests_are_packed_level_by_level(spark):
+    rows = [(i, prose(i, 3 + i % 9), "en", "a", 0) for i in range(300)]
+    p = mixing.packed(spark.createDataFrame(rows, DOCS), 64, 4, fan=3).toPandas()
+    coder = bpe()
+    assert p.n_tokens.sum() == sum(len(coder.ids(r[1])) + 1 for r in rows) and (p.n_tokens < 64).sum() <= 1
+    assert len(p.drop_duplicates(["source", "chunk", "k"])) == len(p) and len({c for c in p.chunk if c < 0}) > 2
+    assert {i for ids in p.doc_ids for i in ids} == {r[0] for r in rows}
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    chain = spark.createDataFrame([(i + 1, i) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        neardup.components(chain, 1)
+    assert {r["root"] for r in neardup.components(chain).collect()} == {0}
+
+
 def test_language_edges(spark, awkward, empty):
     got = [(r["doc_id"], r["language"], r["accepted"]) for r in langid.identify(awkward).collect()]
     assert len(got) == awkward.count()
