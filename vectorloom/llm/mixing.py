@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, END_OF_TEXT, TOKENIZER, bpe, cut, lean, mix64, small, written
+from .common import END_OF_TEXT, TOKENIZER, bpe, cut, lean, mix64, small, written
 
 BLOCK, SHARD, CHUNK_DOCS, ALPHA = 2048, 1024, 256, 0.7
+#: Rests of chunks that are packed together in one task.
+FAN = 256
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -67,15 +69,16 @@ def _runs(batches, keys: int):
         yield key, held
 
 
-def packed(docs: DataFrame, block: int = BLOCK, chunk_docs: int = CHUNK_DOCS, tokenizer: str = TOKENIZER) -> DataFrame:
+def packed(docs: DataFrame, block: int = BLOCK, chunk_docs: int = CHUNK_DOCS, tokenizer: str = TOKENIZER, fan: int = FAN) -> DataFrame:
     """(source, chunk, k, doc_ids, n_tokens, tokens) blocks of all tokens of
     all documents, each document followed by an end-of-text token. `tokens`
     holds little-endian 16-bit ids.
 
     The documents of a source are spread by a hash of doc_id over chunks of
     about `chunk_docs` and are in the order of doc_id in each. What is left of a
-    chunk after its last whole block is packed with the other chunks' rests (chunk -1);
-    only the last block of those may be short. A null source is "(none)". Null and
+    chunk after its last whole block is packed with the rests of up to `fan` neighbouring chunks, what those
+    leave with that of `fan` such groups, and so on (chunks below 0), so that no task gets all rests of a source;
+    only a source's last block may be short. A null source is "(none)". Null and
     empty texts have no tokens and no end mark. A null doc_id is packed and shown as -1.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("(none)")).alias("source"), "text").where("length(text) > 0")
@@ -95,25 +98,42 @@ def packed(docs: DataFrame, block: int = BLOCK, chunk_docs: int = CHUNK_DOCS, to
             yield _emit(source, chunk, ids, lengths, tokens, block, False)
 
     blocks = written(docs.mapInArrow(lean(pack), _BLOCKS), "blocks")
-    rests = blocks.where(F.col("n_tokens") < block).select("source", "chunk", "doc_ids", "tokens").repartition("source").sortWithinPartitions("source", "chunk")
-
-    def rest(batches):
-        for (source,), rows in _runs(batches, 1):
-            # a whole rest is in memory only until its blocks are out
+    out, level = blocks.where(F.col("n_tokens") == block), 0
+    rests = blocks.where(F.col("n_tokens") < block).select("source", "chunk", "doc_ids", "tokens")
+    many = (rests.agg(F.max("chunk")).first()[0] or 0) + 1
+    while True:
+        level += 1
+        # level by level: so many rests of a source together, of which each task leaves one, until all fit in one task
+        last = many <= fan
+        group = F.lit(0) if last else F.floor(F.col("chunk") / fan).cast("int")
+        order = rests.select("source", F.col("chunk").alias("was"), group.alias("chunk"), "doc_ids", "tokens")
+        made = order.repartition("source", "chunk").sortWithinPartitions("source", "chunk", "was").select("source", "chunk", "doc_ids", "tokens").mapInArrow(_rest(block), _BLOCKS)
+        if last:
+            return out.union(made.withColumn("chunk", F.lit(-level)))
+        made = written(made, "rests")
+        out = out.union(made.where(F.col("n_tokens") == block).withColumn("chunk", -1 - level * F.lit(1 << 20) - F.col("chunk")))
+        rests, many = made.where(F.col("n_tokens") < block).select("source", "chunk", "doc_ids", "tokens"), -(-many // fan)
+
+
+def _rest(block: int):
+    """Packs what chunks left over, source by source and chunk by chunk; the last block may be short."""
+
+    def run(batches):
+        for (source, chunk), rows in _runs(batches, 2):
             ids, held, k = [], np.zeros(0, np.uint16), 0
-            for _, doc_ids, tokens in rows:
+            for doc_ids, tokens in rows:
                 ids, held = ids + [i for i in doc_ids if i not in ids[-1:]], np.concatenate([held, np.frombuffer(tokens, np.uint16)])
                 if len(held) >= block:
-                    yield _one(source, k, ids, held[:block])
+                    yield _one(source, chunk, k, ids, held[:block])
                     held, k, ids = held[block:], k + 1, list(doc_ids)
             if len(held):
-                yield _one(source, k, ids, held)
+                yield _one(source, chunk, k, ids, held)
 
-    return blocks.where(F.col("n_tokens") == block).union(rests.mapInArrow(rest, _BLOCKS))
+    return run
 
 
-def _one(source: str, k: int, ids: list[int], tokens: np.ndarray) -> pa.RecordBatch:
-    cols = ([source], [-1], [k], [ids], [len(tokens)], [tokens.tobytes()])
+def _one(source: str, chunk: int, k: int, ids: list[int], tokens: np.ndarray) -> pa.RecordBatch:
+    cols = ([source], [chunk], [k], [ids], [len(tokens)], [tokens.tobytes()])
     types = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["source", "chunk", "k", "doc_ids", "n_tokens", "tokens"])
 
@@ -166,6 +186,6 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     first = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     numbers = per_chunk.withColumn("first", first).select("source", "chunk", "first", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("k"))
     numbers = numbers.select("source", "chunk", "k", (F.col("first") + F.col("k")).alias("block"))
+    # joined by a shuffle at every size: the list grows with the corpus
     wanted = cut(slots.join(numbers, ["source", "block"]))
-    # its rows have seven columns, so the limit is a fifth of that for pairs of integers
-    return blocks.join(small(wanted, total, BROADCAST_ROWS // 5), ["source", "chunk", "k"]).select("shard", "slot", "source", "block", "epoch", "doc_ids", "n_tokens", "tokens")
+    return blocks.join(wanted.hint("shuffle_hash"), ["source", "chunk", "k"]).select("shard", "slot", "source", "block", "epoch", "doc_ids", "n_tokens", "tokens")
