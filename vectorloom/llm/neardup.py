@@ -142,7 +142,8 @@ def _sets(batches):
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) of every node of the edges (a, b); root is the smallest
-    node of the component. Alternating large-star and small-star steps."""
+    node of the component. Alternating large-star and small-star steps, whose number grows with
+    the logarithm of the nodes; not to be done after `rounds` is an error, never a partial result."""
 
     def state(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -160,6 +161,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if now == was:
             break
         was = now
+    else:
+        raise RuntimeError(f"the components haven't settled in {rounds} rounds")
     return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
 
 
@@ -202,16 +205,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float =
     signed = cut(signed.withColumn("rep", F.min("doc_id").over(Window.partitionBy("same"))))
     copies = signed.where("rep < doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     signed = signed.where("rep = doc_id").drop("rep", "same").dropDuplicates(["doc_id", "frag"])
-    bucket = Window.partitionBy("band")
-    met = signed.select("doc_id", F.explode("bands").alias("band")).withColumns({"lead": F.min("doc_id").over(bucket), "last": F.max("doc_id").over(bucket)})
-    met = cut(met.where("lead < last").select("band", "doc_id", "lead"))
+    # a band's extremes are summed up task by task and joined back, so no band has to be in one task
+    banded = signed.select("doc_id", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last")
+    met = cut(banded.join(shared.select("band", "lead"), "band"))
     frags = signed.select("doc_id", "frag")
     first = met.where("lead < doc_id").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
     found = _verified(first, frags, docs, threshold, miss)
     groups = cut(components(found))
     apart = met.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    apart = apart.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).where("low < high")
     apart = cut(apart.select("band", "doc_id", "root", "lead"))
+    mixed = apart.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    apart = cut(apart.join(mixed, "band"))
     x, y = apart.alias("x"), apart.alias("y")
     cross = x.join(y, F.col("x.band") == F.col("y.band")).where("x.root <> y.root and x.doc_id > y.doc_id and y.doc_id <> y.lead")
     second = cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
