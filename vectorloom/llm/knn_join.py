@@ -45,17 +45,16 @@ def _packed(batches):
 
 
 def bounds(pivots: np.ndarray, counts: np.ndarray, radius: np.ndarray, nearest: list[np.ndarray], k: int) -> np.ndarray:
-    """least[j, i]: the distance to its pivot j that a vector needs to be
-    within reach of some query of cell i. `nearest` has each cell's k + 1
-    least distances, as a query is its own nearest neighbour."""
+    """How far from the pivot of each cell a vector may lie and still be a neighbour of
+    a query of that cell. `nearest` has each cell's k + 1 least distances, as a query is its own nearest neighbour."""
     apart = np.sqrt(np.maximum(((pivots[:, None] - pivots[None]) ** 2).sum(axis=2), 0)) if len(pivots) <= 64 else _apart(pivots)
-    least = np.empty_like(apart)
+    far = np.empty(len(pivots))
     all_near, of = np.concatenate(nearest), np.repeat(np.arange(len(nearest)), [len(n) for n in nearest])
     for i in range(len(pivots)):
         reach = apart[i, of] + all_near
         theta = np.partition(reach, k)[k] + radius[i] if len(reach) > k else math.inf
-        least[:, i] = apart[:, i] - radius[i] - theta - _SLACK
-    return least
+        far[i] = radius[i] + theta + _SLACK
+    return far
 
 
 def _apart(p: np.ndarray) -> np.ndarray:
@@ -68,14 +67,24 @@ def solve(qid: np.ndarray, q: np.ndarray, did: np.ndarray, d: np.ndarray, k: int
     """(query, neighbour, distance) of the k nearest of d for each q, itself
     excluded; ties by id. Distances are those of the coordinates' differences."""
     outs = []
-    own = (d * d).sum(axis=1)
-    slack = 1e-9 * (1 + own.max(initial=0))
+    own, big = (d * d).sum(axis=1), max(float(np.abs(d).max(initial=0)), float(np.abs(q).max(initial=0)))
+    # products in single precision while they fit, with room for their rounding; what is within it is worked out again exactly
+    kind, rounding = (np.float32, 1e-6) if big < 1e15 else (np.float64, 1e-15)
+    narrow, slack = d.astype(kind), rounding * 4 * (1 + q.shape[1] * big * big)
     for a in range(0, len(q), 128):
         part, ids = q[a : a + 128], qid[a : a + 128]
-        s = own - 2 * part @ d.T + (part * part).sum(axis=1)[:, None]
-        s[ids[:, None] == did[None]] = math.inf
-        worst = np.partition(s, k - 1, axis=1)[:, k - 1] if len(d) > k else np.full(len(part), math.inf)
-        i, j = np.nonzero((s <= worst[:, None] + slack) & (s < math.inf))
+        again = part.astype(kind)
+        # what each query's k-th distance is at most, by the first data seen
+        worst, rows, cols = np.full((len(part), 1), math.inf), [], []
+        for b in range(0, len(d), 4096):
+            s = own[b : b + 4096] - 2 * (again @ narrow[b : b + 4096].T)
+            s[ids[:, None] == did[None, b : b + 4096]] = math.inf
+            if s.shape[1] > k:
+                worst = np.minimum(worst, np.partition(s, k - 1, axis=1)[:, k - 1 : k] + slack) if b < 8192 else worst
+            i, j = np.nonzero((s <= worst + slack) & (s < math.inf))
+            rows.append(i)
+            cols.append(j + b)
+        i, j = np.concatenate([np.zeros(0, int), *rows]), np.concatenate([np.zeros(0, int), *cols])
         far = np.sqrt(((part[i] - d[j]) ** 2).sum(axis=1))
         order = np.lexsort((did[j], far, i))
         i, j, far = i[order], j[order], far[order]
@@ -119,7 +128,7 @@ def knn_join(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: st
     nearest = [np.zeros(0)] * m
     for c in sums:
         nearest[c] = np.array(sorted(r["far"] for r in near if r["cell"] == c))
-    least = bounds(chosen, counts, radius, nearest, k)
+    within = bounds(chosen, counts, radius, nearest, k)
     # groups of neighbouring cells; a cell above the size of a group has several
     groups, filled = [], 0
     left = set(c for c in range(m) if counts[c])
@@ -140,14 +149,23 @@ def knn_join(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: st
             groups[-1].append(at)
             filled += int(counts[at])
             splits[at] = (len(groups) - 1, 1)
-    reach = np.stack([least[:, g].min(axis=1) for g in groups], axis=1)  # cell of the data, group
+    own = (chosen * chosen).sum(axis=1)
+
+    def needed(column) -> np.ndarray:
+        """Which groups each vector could serve: those with a cell within whose bound it lies, by its own distance to that cell's pivot."""
+        x = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+        size = (x * x).sum(axis=1)[:, None]
+        # rounding only loosens the bound
+        d = np.sqrt(np.maximum(own + size - 2 * x @ chosen.T - 1e-9 * (own + size), 0)) - within
+        return np.stack([d[:, g].min(axis=1) <= 0 for g in groups], axis=1)
+
     first, parts = (np.array([splits.get(c, (0, 1))[s] for c in range(m)]) for s in (0, 1))
 
     def send(batches):
         for batch in batches:
-            ids, cell, far = (batch.column(c).to_numpy() for c in ("id", "cell", "far"))
+            ids, cell = (batch.column(c).to_numpy() for c in ("id", "cell"))
             h = mix64(ids.astype(np.uint64)).astype(np.int64) & 0x7FFFFFFF
-            i, g = np.nonzero(far[:, None] >= reach[cell])
+            i, g = np.nonzero(needed(batch.column("x")))
             goes = pa.array(np.concatenate([first[cell] + h % parts[cell], g]).astype(np.int32))
             rows = np.concatenate([np.arange(len(ids)), i])
             query = np.arange(len(rows)) < len(ids)
@@ -161,10 +179,10 @@ def knn_join(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: st
     def tally(batches):
         total = np.zeros(len(groups), np.int64)
         for batch in batches:
-            total += (batch.column(1).to_numpy()[:, None] >= reach[batch.column(0).to_numpy()]).sum(axis=0)
+            total += needed(batch.column(0)).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(groups), dtype=np.int32)), pa.array(total)], ["g", "n"])
 
-    for r in cells.select("cell", "far").mapInArrow(tally, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).collect():
+    for r in cells.select("x").mapInArrow(tally, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).collect():
         sizes[r["g"]] = max(1, -(-r["n"] // group_data))
     many = np.array([sizes.get(g, 1) for g in range(len(groups))], np.int32)
     sent = cells.mapInArrow(send, "g int, part int, id long, x binary")
