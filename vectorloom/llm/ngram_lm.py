@@ -21,12 +21,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, local, shared_path
+from .common import lean, local, shared_path, written
 from .eliasfano import EliasFano, map_arrays, nested, unnested, write_arrays
 from .textarray import parts, word_hashes
 
-#: Words have 20-bit ids; 0 is any other word and 1 the start of a text.
-BITS, UNKNOWN, START, WORDS = 20, 0, 1, 2
+#: Words have 31-bit ids, more than any corpus has words, so that a bigram fits 62 bits, as does a trigram by the place of its bigram. 0 is any other word and 1 the start of a text.
+BITS, UNKNOWN, START, WORDS = 31, 0, 1, 2
 VOCABULARY = (1 << BITS) - WORDS
 LEAST_WORD, LEAST_BIGRAM, LEAST_TRIGRAM, DISCOUNT, SHARD_TOKENS = 2, 2, 2, 0.75, 4_000_000
 _LOW = np.int64((1 << BITS) - 1)
@@ -263,46 +263,53 @@ def train(docs: DataFrame, vocabulary: int = VOCABULARY, least_word: int = LEAST
                 hashes, at = word_hashes(found[a:b])
                 ids, place = with_starts(word_ids(hashes, known), at)
                 two = (ids[:-1] << BITS) + ids[1:]
-                rows = []
-                for order, keys in ((2, two[place[1:] > 0]), (3, ((two[:-1] << BITS) + ids[2:])[place[2:] > 1])):
-                    keys, c = np.unique(keys, return_counts=True)
-                    cuts = np.searchsorted(keys, np.append(limits, np.int64(1) << 2 * BITS) << (BITS * (order - 2)))
-                    rows += [(k, order, _squeeze(keys[i:j], c[i:j])) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j]
+                keys, c = np.unique(two[place[1:] > 0], return_counts=True)
+                # a trigram is known by the place of its bigram among those of the batch
+                third = place[2:] > 1
+                keys3, c3 = np.unique((np.searchsorted(keys, two[:-1][third]) << BITS) + ids[2:][third], return_counts=True)
+                cuts = np.searchsorted(keys, np.append(limits, np.int64(1) << 2 * BITS))
+                cuts3 = np.searchsorted(keys3, cuts << BITS)
+                rows = [(k, _squeeze(keys[i:j], c[i:j]), _squeeze(keys3[x:y] - (int(i) << BITS), c3[x:y])) for k, (i, j, x, y) in enumerate(zip(cuts[:-1], cuts[1:], cuts3[:-1], cuts3[1:])) if i < j]
                 cols = list(zip(*rows)) if rows else [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(cols, (pa.int32(), pa.int32(), pa.binary()))], ["shard", "n", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(cols, (pa.int32(), pa.binary(), pa.binary()))], ["shard", "two", "three"])
 
     def merge(group: pa.Table) -> pa.Table:
         k = group.column("shard")[0].as_py()
-        gram = {}
-        for order in (2, 3):
-            got = [_expand(b) for o, b in zip(group.column("n").to_pylist(), group.column("grams").to_pylist()) if o == order]
-            gram[order] = _summed(*(np.concatenate(x) for x in zip(*got))) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        (two, c2), (three, c3) = gram[2], gram[3]
+        got = [_expand(b) for b in group.column("two").to_pylist()]
+        two, c2 = _summed(*(np.concatenate(x) for x in zip(*got)))
+        found = []
+        for (keys, _), b in zip(got, group.column("three").to_pylist()):
+            more, c = _expand(b)
+            found.append(((np.searchsorted(two, keys)[more >> BITS] << BITS) + (more & _LOW), c))
+        three, c3 = _summed(*(np.concatenate(x) for x in zip(*found)))
         keep2, keep3 = c2 >= least_bigram, c3 >= least_trigram
-        of = np.searchsorted(two[keep2], three >> BITS)
-        known = of < keep2.sum()
-        known[known] = two[keep2][of[known]] == (three >> BITS)[known]
-        context = np.bincount(of[known], c3[known], int(keep2.sum())).astype(np.int64)
-        write_arrays(f"{folder}/raw-{k}", {"two": two[keep2], "c2": c2[keep2], "context": context, "three": three[keep3], "c3": c3[keep3]})
+        of, place = three >> BITS, np.cumsum(keep2) - 1  # a trigram's bigram, and where kept bigrams will lie
+        known = keep2[of]
+        context = np.bincount(place[of[known]], c3[known], int(keep2.sum())).astype(np.int64)
+        write_arrays(f"{folder}/raw-{k}", {"two": two[keep2], "c2": c2[keep2], "context": context, "three": (place[of[keep3]] << BITS) + (three[keep3] & _LOW), "c3": c3[keep3]})
         u, first = np.unique(two >> BITS, return_index=True)
         stats = [u] + [np.add.reduceat(x, first) for x in (c2, np.where(keep2, c2, 0), keep2.astype(np.int64))] if len(u) else [u] * 4
         return pa.table([pa.array([k] * len(u), pa.int32()), *(pa.array(x.astype(np.int64)) for x in stats)], ["shard", "u", "total", "kept", "types"])
 
-    merged = texts.mapInArrow(lean(count, 16 << 20), "shard int, n int, grams binary").groupBy("shard").applyInArrow(merge, "shard int, u long, total long, kept long, types long")
-    stats = merged.toArrow()
-    u, shard = stats.column("u").to_numpy(), stats.column("shard").to_numpy()
+    merged = texts.mapInArrow(lean(count, 16 << 20), "shard int, two binary, three binary").groupBy("shard").applyInArrow(merge, "shard int, u long, total long, kept long, types long")
+    merged = written(merged, "lm-words")
+    # one row a word comes to the driver, however many shards a word has
+    stats = merged.groupBy("u").agg(*[F.sum(k).alias(k) for k in ("total", "kept", "types")]).toArrow()
+    u = stats.column("u").to_numpy()
     sums = {k: np.bincount(u, stats.column(k).to_numpy(), len(counts)) for k in ("total", "kept", "types")}
     weight = np.where(sums["total"] > 0, 1 - (sums["kept"] - discount * sums["types"]) / np.maximum(sums["total"], 1), 1.0)
     p = counts + 1.0
     p[START] = 0
     # how many entries of a shard's first word lie in earlier shards
-    carry, types = [], stats.column("types").to_numpy()
-    for k, b in enumerate(bounds):
-        carry.append(int(types[(u == b >> BITS) & (shard < k)].sum()))
+    firsts = spark.createDataFrame([(k, int(b) >> BITS) for k, b in enumerate(bounds)], "k int, u long")
+    earlier = merged.join(F.broadcast(firsts), "u").where("shard < k").groupBy("k").agg(F.sum("types").alias("n"))
+    carry = np.zeros(len(bounds), np.int64)
+    for r in earlier.collect():
+        carry[r["k"]] = r["n"]
     with np.errstate(divide="ignore"):
         unigrams = np.log10(p / p.sum())
     unigrams[START] = -99
-    write_arrays(f"{folder}/words", {"vocabulary": h, "bounds": bounds, "p": unigrams.astype(np.float32), "bow": np.log10(np.maximum(weight, 1e-9)).astype(np.float32), "total": sums["total"].astype(np.int64), "weight": weight, "carry": np.array(carry, np.int64)})
+    write_arrays(f"{folder}/words", {"vocabulary": h, "bounds": bounds, "p": unigrams.astype(np.float32), "bow": np.log10(np.maximum(weight, 1e-9)).astype(np.float32), "total": sums["total"].astype(np.int64), "weight": weight, "carry": carry})
 
     def build(batches):
         for batch in batches:
@@ -334,10 +341,9 @@ def _build_shard(folder: str, k: int, discount: float) -> None:
     last = int(bounds[k + 1] - 1) >> BITS if k + 1 < len(bounds) else len(p1) - 1
     two, three, c3 = raw["two"], raw["three"], raw["c3"]
     pointers2 = np.searchsorted(two, np.arange(first, last + 2, dtype=np.int64) << BITS)
-    pointers3 = np.searchsorted(three, np.append(two, np.int64(1) << 2 * BITS) << BITS)
-    pointers3[-1:] = len(three)
+    pointers3 = np.searchsorted(three, np.arange(len(two) + 1, dtype=np.int64) << BITS)
     # the bigram of the last two words: its probability and its rank, from whichever shard has it
-    tail = ((three >> BITS & _LOW) << BITS) + (three & _LOW)
+    tail = ((two[three >> BITS] & _LOW) << BITS) + (three & _LOW)
     lower, rank = np.zeros(len(three)), np.zeros(len(three), np.int64)
     shard = np.searchsorted(bounds, tail, "right") - 1
     for s in np.unique(shard):
