@@ -90,6 +90,41 @@ def test_language_profiles_and_brute_force(spark):
         assert found[r[0]]["distance"] == pytest.approx(min(far.values()))
 
 
+def test_profiles_count_every_document(spark, monkeypatch):
+    """More documents of a language than any sample would take: counts are of all, whatever a task hands on at once."""
+    words = [WORDS[k % 25] + WORDS[k // 25] for k in range(40) for _ in range(100 + k)]
+    rows = [(i, w, "xx", "s", 0) for i, w in enumerate(words)] + [(None, "cd", "xx", "s", 0), (5001, None, "xx", "s", 0), (5002, "zz", None, "s", 0)]
+    total: dict = {}
+    for _, text, lang, *_ in rows:
+        if lang and text:
+            for g in langid.gram_codes(text).tolist():
+                total[g] = total.get(g, 0) + 1
+    want = sorted(total, key=lambda g: (-total[g], g))[: langid.LENGTH]
+    found: list = []
+    for held in (1 << 20, 2):
+        monkeypatch.setattr(langid, "HELD", held)
+        p = langid.fit_profiles(spark.createDataFrame(rows, DOCS).repartition(3))
+        found.append((p.codes[np.argsort(p.ranks[:-1, 0])].tolist(), p.limits))
+    assert found[0] == found[1] and found[0][0] == want
+    texts = [t for _, t, lang, *_ in rows if lang and t]
+    for size in {langid.size_class(langid.gram_codes(t)) for t in texts}:
+        mine = sorted(p.distances(c).min() for t in texts if langid.size_class(c := langid.gram_codes(t)) == size)
+        near = mine[math.ceil(len(mine) * langid.SHARE) - 1] + langid.MARGIN
+        assert len(mine) < langid.ENOUGH or p.limits[size] >= near - 1e-9
+
+
+def test_counts_in_parts_are_counts_at_once(monkeypatch):
+    rng = np.random.default_rng(1)
+    codes = [rng.integers(0, 500, n) for n in rng.integers(0, 300, 200)]
+    monkeypatch.setattr(langid, "GATHERED", 700)
+    counts = langid.Counts()
+    for c in codes:
+        counts.add(c)
+    counts.settle()
+    want, n = np.unique(np.concatenate(codes), return_counts=True)
+    assert all(np.array_equal(a, b) for a, b in zip(counts.merged(), (want, n)))
+
+
 def test_language_rejects_what_is_in_no_profile(spark):
     df = spark.createDataFrame([(i, tongue("xx", i), "xx", "s", 0) for i in range(20)], DOCS)
     p = langid.fit_profiles(df)

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from .common import lean, mix64
 from .textarray import ALPHA, classes, points
 
-LONGEST, LENGTH, TRAIN_ROWS, FARTHEST = 5, 300, 2000, 0.92
-#: A document is rejected beyond the distance that this share of the fitted documents of its length keep to, and a
-#: margin more, where at least so many were fitted, though never as near as NEAR; else beyond FARTHEST alone.
-SHARE, MARGIN, ENOUGH, NEAR = 0.99, 0.1, 30, 0.6
+LONGEST, LENGTH, FARTHEST = 5, 300, 0.92
+#: A document is rejected beyond the distance (in whole parts of 1 / PARTS, rounded up) that this share of the fitted documents of
+#: its length keep to, and a margin more, where at least so many were fitted, though never as near as NEAR; else beyond FARTHEST alone.
+SHARE, MARGIN, ENOUGH, NEAR, PARTS = 0.99, 0.1, 30, 0.6, 10_000
+#: n-grams that a task gathers before it counts them, and different ones it holds before it hands their counts on.
+GATHERED, HELD = 1 << 21, 1 << 20
 _BITS = 12
 _LOW, _FAR = (1 << _BITS) - 1, np.int64(1 << 62)
 
@@ -100,44 +102,93 @@ class Profiles:
         return out.sum(axis=0) / (self.length * len(doc))
 
 
-def fit_profiles(docs: DataFrame, rows_per_language: int = TRAIN_ROWS, length: int = LENGTH) -> Profiles:
-    """Profiles of the languages named in `lang`, from about
-    `rows_per_language` documents of each, chosen by a hash of doc_id.
-    Rows without lang, text or doc_id teach nothing."""
-    docs = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null and doc_id is not null")
-    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
-    if not sizes:
-        return Profiles({}, length)
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_language / n)))])
-    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", "text")
+class Counts:
+    """How often each n-gram of a language was seen, in bounded memory: codes are gathered, then counted."""
+
+    def __init__(self):
+        self.loose: list[np.ndarray] = []
+        self.waiting = self.last = 0
+        self.sums: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, codes: np.ndarray) -> None:
+        self.loose.append(codes)
+        self.waiting += len(codes)
+        if self.waiting >= GATHERED:
+            self.settle()
+
+    def settle(self) -> None:
+        if self.waiting:
+            found, n = np.unique(np.concatenate(self.loose), return_counts=True)
+            self.sums.append((found, n.astype(np.int64)))
+        self.loose, self.waiting = [], 0
+        if sum(len(c) for c, _ in self.sums) > 2 * self.last:
+            self.merged()
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        """Different codes and their counts."""
+        if len(self.sums) > 1:
+            codes, n = (np.concatenate(x) for x in zip(*self.sums))
+            order = codes.argsort(kind="stable")
+            codes, n = codes[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            self.sums = [(codes[first], np.add.reduceat(n, first))]
+        self.last = sum(len(c) for c, _ in self.sums)
+        return self.sums[0] if self.sums else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def fit_profiles(docs: DataFrame, length: int = LENGTH) -> Profiles:
+    """Profiles of the languages named in `lang`, from every document of each; so are the limits.
+    Rows without lang or text teach nothing."""
+    docs = docs.select("lang", "text").where("lang is not null and text is not null")
+
+    def handed(held: dict[str, Counts]):
+        for lang, counts in held.items():
+            codes, n = counts.merged()
+            for at in range(0, len(codes), 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes[part])), pa.array(codes[part]), pa.array(n[part])], ["lang", "gram", "n"])
+        held.clear()
 
     def count(batches):
+        held: dict[str, Counts] = {}
         for batch in batches:
-            held: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(lang, []).append(gram_codes(text))
-            for lang, parts in held.items():
-                codes, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
-
-    totals = picked.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+                held.setdefault(lang, Counts()).add(gram_codes(text))
+            for counts in held.values():
+                counts.settle()
+            if sum(len(c) for counts in held.values() for c, _ in counts.sums) > HELD:
+                yield from handed(held)
+        yield from handed(held)
+
+    totals = docs.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     profiles: dict[str, list[int]] = {}
     for r in totals.withColumn("rank", rank).where(F.col("rank") <= length).orderBy("lang", "rank").collect():
         profiles.setdefault(r["lang"], []).append(r["gram"])
     out = Profiles(profiles, length)
+    if not profiles:
+        return out
 
     def measure(batches):
+        """Documents by size and distance: one row for each that was seen."""
+        seen: dict[tuple[int, int], int] = {}
         for batch in batches:
-            found = [(size_class(c), float(out.distances(c).min())) for t in batch.column(0).to_pylist() if len(c := gram_codes(t))]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.float64())], ["size", "far"])
-
-    far = picked.select("text").mapInArrow(lean(measure), "size int, far double").groupBy("size")
+            for t in batch.column(0).to_pylist():
+                if len(c := gram_codes(t)):
+                    key = size_class(c), int(np.ceil(out.distances(c).min() * PARTS - 1e-6))
+                    seen[key] = seen.get(key, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int32()), pa.array([x for _, x in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["size", "far", "n"])
+
+    far = docs.select("text").mapInArrow(lean(measure), "size int, far int, n long").groupBy("size", "far").agg(F.sum("n").alias("n"))
+    sizes: dict[int, list[tuple[int, int]]] = {}
+    for r in far.orderBy(F.desc("size"), "far").collect():
+        sizes.setdefault(r["size"], []).append((r["far"], r["n"]))
     limit = NEAR
-    for r in far.agg(F.count("*").alias("n"), F.percentile("far", SHARE).alias("far")).orderBy(F.desc("size")).collect():
-        if r["n"] >= ENOUGH:  # from the longest on: a shorter text may always lie as far
-            limit = max(limit, r["far"] + MARGIN)
-            out.limits[r["size"]] = limit
+    for size, rows in sizes.items():  # from the longest on: a shorter text may always lie as far
+        upto = np.cumsum([n for _, n in rows])
+        if upto[-1] >= ENOUGH:
+            limit = max(limit, rows[int(np.searchsorted(upto, SHARE * upto[-1]))][0] / PARTS + MARGIN)
+            out.limits[size] = limit
     return out
 
 
