@@ -416,6 +416,51 @@ def test_whole_texts_against_brute_force(model):
     assert found[:-2] == [brute_spans(t, model) for t in texts] and found[-2:] == [[], []] and sum(map(len, found)) > 50
 
 
+def test_scan_gives_what_the_network_does():
+    m, rng = pii.Tagger(hidden=5, embed=3), np.random.default_rng(0)
+    m.p["a"] = rng.standard_normal((pii.TAGS, pii.TAGS)).astype(np.float32)
+    n = np.array([3, 20, 31, 40])
+    x = np.where(np.arange(40) < n[:, None], rng.integers(1, pii.CHARS, (4, 40)), 0)
+    em, gain = m.fast(x, n)
+    stay = pii.changes(m.p["a"] + pii._FORBIDDEN)[2]
+    for k, end in enumerate(n):
+        slow = m.emissions(x[k : k + 1, :end])[0][:, 0]
+        assert np.allclose(em[:end, k], slow, atol=1e-4)
+        want = np.concatenate([slow[:, 1::2] - slow[:, :1], slow[:, 2::2] - slow[:, :1] + stay], axis=1)
+        assert np.allclose(gain[k, :, :end].T, want + pii.ROUNDING, atol=1e-4)
+
+
+def test_parts_of_a_text_leave_no_span_out():
+    rng, found = np.random.default_rng(4), 0
+    for trial in range(30):
+        n, above = int(rng.integers(1, 5000)), rng.choice([3, 5, 8])
+        a = (rng.standard_normal((pii.TAGS, pii.TAGS)) + pii._FORBIDDEN).astype(np.float32)
+        base = rng.standard_normal((n, pii.TAGS)).astype(np.float32) * 2
+        base[:, 0] += above
+        for at in [*rng.integers(0, n, 3), *range(pii.STEP - 20, n, pii.STEP)]:  # some spans, and some over the borders
+            k = 2 * int(rng.integers(len(pii.KINDS)))
+            base[at : at + 1, 1 + k] += 12
+            base[at + 1 : at + int(rng.integers(2, 120)), 2 + k] += above + 2
+        starts = pii.window_starts("x" * n)
+        ems = [base[s : s + pii.WINDOW] + rng.standard_normal((len(base[s : s + pii.WINDOW]), pii.TAGS)).astype(np.float32) for s in starts]
+        stay = pii.changes(a)[2]
+        gains = [np.concatenate([(e[:, 1::2] - e[:, :1]).T, (e[:, 2::2] - e[:, :1] + stay).T]).astype(np.float32) + np.float32(pii.ROUNDING) for e in ems]
+        whole = pii.best_spans(pii.averaged(ems, n, 0, n), a)
+        assert whole == [x for s, e in pii.stretches(gains, n, a) for x in pii.best_spans(pii.averaged(ems, n, s, e), a, s, n)]
+        found += len(whole)
+    assert found > 100
+
+
+def test_few_characters_are_searched_kind_by_kind(model, monkeypatch):
+    rest = "the old mill by the river was sold in 1999 and the new owner is said to like it, about as much as the last one did. " * 100
+    text, seen, plausible = f"{rest}mail jane.doe@example.org today {rest}", [], pii.plausible
+    monkeypatch.setattr(pii, "plausible", lambda em, a: seen.append(len(em)) or plausible(em, a))
+    spans = pii.find_spans([text], model)[0]
+    assert 0 < sum(seen) < len(text) / 2
+    monkeypatch.undo()
+    assert spans == brute_spans(text, model) and any(text[s:e] == "jane.doe@example.org" for s, e, _ in spans)
+
+
 def test_shapes_the_generator_does_not_make(model):
     """Held-out forms, written by hand, and look-alikes that stay."""
     private = {

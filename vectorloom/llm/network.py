@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 
-_FLOAT, _INT, _LONG = 1, 6, 7
+_FLOAT, _INT = 1, 6
 
 
 def _varint(n: int) -> bytes:
@@ -27,41 +27,69 @@ def _f(k: int, v) -> bytes:
 
 
 def _array(name: str, a: np.ndarray) -> bytes:
-    kind = {"float32": _FLOAT, "int64": _LONG}[a.dtype.name]
-    return b"".join(_f(1, d) for d in a.shape) + _f(2, kind) + _f(8, name) + _f(9, np.ascontiguousarray(a).tobytes())
+    return b"".join(_f(1, d) for d in a.shape) + _f(2, _FLOAT) + _f(8, name) + _f(9, a.tobytes())
 
 
 def _port(name: str, kind: int, *dims) -> bytes:
     return _f(1, name) + _f(2, _f(1, _f(1, kind) + _f(2, b"".join(_f(1, _f(2 if isinstance(d, str) else 1, d)) for d in dims))))
 
 
-def _step(op: str, ins: str, out: str, **settings) -> bytes:
-    b = b"".join(_f(1, i) for i in ins.split()) + _f(2, out) + _f(4, op)
+def _step(op: str, ins: str, outs: str, **settings) -> bytes:
+    b = b"".join(_f(1, i) for i in ins.split()) + b"".join(_f(2, o) for o in outs.split()) + _f(4, op)
     for k, v in settings.items():
-        b += _f(5, _f(1, k) + (_f(3, v) + _f(20, 2) if isinstance(v, int) else _f(4, v) + _f(20, 3) if isinstance(v, str) else b"".join(_f(8, i) for i in v) + _f(20, 7)))
+        b += _f(5, _f(1, k) + (_f(3, v) + _f(20, 2) if isinstance(v, int) else _f(6, v) + _f(20, 5) if isinstance(v, bytes) else b"".join(_f(8, i) for i in v) + _f(20, 7)))
     return b
 
 
-def graph(p: dict[str, np.ndarray], hidden: int) -> bytes:
-    """Classes (time, batch) and the length of each sequence to emissions (time, batch, tags)."""
-
-    def gates(w: np.ndarray) -> np.ndarray:
-        i, f, o, g = np.split(w.T, 4)
-        return np.concatenate([i, o, f, g]).astype(np.float32)  # the order of the format
-
-    bias = np.stack([np.concatenate([gates(p[f"b{k}"][None])[:, 0], np.zeros(4 * hidden, np.float32)]) for k in "fb"])
-    held = {"e": p["e"], "w": np.stack([gates(p[f"w{k}"]) for k in "fb"]), "u": np.stack([gates(p[f"u{k}"]) for k in "fb"]), "b": bias, "v": p["v"], "d": p["d"]}
-    arrays = [_array(k, a.astype(np.float32)) for k, a in held.items()] + [_array("s", np.array([0, 0, -1], np.int64))]
-    steps = [_step("Gather", "e x", "g"), _step("LSTM", "g w u b n", "y", direction="bidirectional", hidden_size=hidden), _step("Transpose", "y", "t", perm=[0, 2, 1, 3]), _step("Reshape", "t s", "h"), _step("MatMul", "h v", "m"), _step("Add", "m d", "out")]
-    body = b"".join(_f(1, n) for n in steps) + _f(2, "tagger") + b"".join(_f(5, a) for a in arrays) + _f(11, _port("x", _INT, "time", "batch")) + _f(11, _port("n", _INT, "batch")) + _f(12, _port("out", _FLOAT, "time", "batch", len(p["d"])))
-    return _f(1, 8) + _f(7, body) + _f(8, _f(1, "") + _f(2, 14))
-
-
-def session(p: dict[str, np.ndarray], hidden: int):
-    """A function from classes and lengths to emissions, on one thread, as tasks share a machine."""
+def _graph(name: str, steps: list[bytes], ins: list[bytes], outs: list[bytes], arrays: dict[str, np.ndarray]) -> bytes:
+    held = (_array(k, np.ascontiguousarray(v, np.float32)) for k, v in arrays.items())
+    return b"".join(_f(1, n) for n in steps) + _f(2, name) + b"".join(_f(5, a) for a in held) + b"".join(_f(11, i) for i in ins) + b"".join(_f(12, o) for o in outs)
+
+
+def graph(p: dict[str, np.ndarray], hidden: int, order: list[int], more: np.ndarray) -> bytes:
+    """Rows of the table of inputs (time, 1, batch), of either direction, and states of zero to emissions (time, 1, batch, tags) and to
+    how far (batch, order, time) those of the tags in `order`, with `more` added to each, are above the first tag's.
+
+    One scan runs both directions, so that each step is a few operations on the whole batch. As sigmoid(z) is
+    (tanh(z / 2) + 1) / 2, all gates are one tanh; their halves are in the weights, and the state that is passed on is twice the output."""
+    half = np.repeat(np.array([0.5, 0.5, 0.5, 1], np.float32), hidden)
+    # the last row of a table closes all gates: the state stays zero until the sequence begins
+    closed = np.repeat(np.array([-50, -50, -50, 0], np.float32), hidden)[None]
+    table = np.concatenate([x for k in "fb" for x in ((p["e"] @ p[f"w{k}"] + p[f"b{k}"]) * half, closed)])
+    arrays = {"table": table, "u": np.stack([p[f"u{k}"] * half / 2 for k in "fb"]), "one": np.ones(1), "halved": np.full(1, 0.5), "d": p["d"], "d1": p["d"][order] - p["d"][0] + more}
+    for k, v in (("f", p["v"][:hidden] / 2), ("b", p["v"][hidden:] / 2)):
+        arrays |= {f"v{k}": v, f"r{k}": v[:, order] - v[:, :1]}
+    inner = [
+        _step("Concat", "xf xb", "x", axis=0), _step("Gather", "table x", "g"), _step("MatMul", "h u", "z"), _step("Add", "g z", "y"), _step("Tanh", "y", "t"), _step("Split", "t", "i f o q", axis=2),
+        _step("Add", "i one", "i1"), _step("Add", "f one", "f1"), _step("Add", "o one", "o1"), _step("Mul", "f1 c", "fc"), _step("Mul", "i1 q", "iq"), _step("Add", "fc iq", "s"),
+        _step("Mul", "s halved", "cn"), _step("Tanh", "cn", "e"), _step("Mul", "o1 e", "hn"), _step("Split", "hn", "hf hb", axis=0),
+    ]
+    state = (2, "batch", hidden)
+    body = _graph("step", inner, [_port("h", _FLOAT, *state), _port("c", _FLOAT, *state), *(_port(k, _INT, 1, "batch") for k in ("xf", "xb"))], [_port("hn", _FLOAT, *state), _port("cn", _FLOAT, *state), *(_port(k, _FLOAT, 1, "batch", hidden) for k in ("hf", "hb"))], {})
+    steps = [
+        _step("Scan", "h0 c0 f0 b0", "hl cl hfs hbs", body=body, num_scan_inputs=2, scan_input_directions=[0, 1], scan_output_directions=[0, 1]),
+        _step("MatMul", "hfs vf", "m1"), _step("MatMul", "hbs vb", "m2"), _step("Add", "m1 m2", "m3"), _step("Add", "m3 d", "out"),
+        _step("MatMul", "hfs rf", "r1"), _step("MatMul", "hbs rb", "r2"), _step("Add", "r1 r2", "r3"), _step("Add", "r3 d1", "r4"), _step("Transpose", "r4", "more", perm=[1, 2, 3, 0]),
+    ]
+    ins = [*(_port(k, _FLOAT, *state) for k in ("h0", "c0")), *(_port(k, _INT, "time", 1, "batch") for k in ("f0", "b0"))]
+    outs = [_port("out", _FLOAT, "time", 1, "batch", len(p["d"])), _port("more", _FLOAT, 1, "batch", len(order), "time")]
+    return _f(1, 8) + _f(7, _graph("tagger", steps, ins, outs, arrays)) + _f(8, _f(1, "") + _f(2, 14))
+
+
+def session(p: dict[str, np.ndarray], hidden: int, order: list[int], more: np.ndarray):
+    """A function from classes (time, batch) and lengths to emissions (time, batch, tags) and gains (batch, order, time),
+    see :func:`graph`, on one thread, as tasks share a machine."""
     import onnxruntime
 
     o = onnxruntime.SessionOptions()
     o.intra_op_num_threads = o.inter_op_num_threads = 1
-    s = onnxruntime.InferenceSession(graph(p, hidden), o, providers=["CPUExecutionProvider"])
-    return lambda x, n: s.run(None, {"x": x, "n": n})[0]
+    s = onnxruntime.InferenceSession(graph(p, hidden, order, more), o, providers=["CPUExecutionProvider"])
+    closed = len(p["e"])
+
+    def run(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        zero = np.zeros((2, x.shape[1], hidden), np.float32)
+        back = np.where(np.arange(len(x))[:, None] < n, x, closed).astype(np.int32) + np.int32(closed + 1)
+        em, gain = s.run(["out", "more"], {"h0": zero, "c0": zero, "f0": x[:, None], "b0": back[:, None]})
+        return em[:, 0], gain[0]
+
+    return run

@@ -9,6 +9,7 @@ whole document. Which kinds hold which characters is learned, not built in.
 from __future__ import annotations
 
 import string
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +27,8 @@ WINDOW, STEP, HIDDEN, EMBED, STEPS, SEQUENCES, LENGTH = 1024, 960, 24, 16, 720,
 PART = 1_000_000
 #: Marks of the end that a window is read with, as texts are in training.
 PADDING = 8
+#: More than two sums of the same products differ by a character.
+ROUNDING = 1e-3
 _ASCII = {c: i + 1 for i, c in enumerate(string.printable)}
 _OTHER = ("lower", "upper", "digit", "space", "sign")
 CHARS = 1 + len(_ASCII) + len(_OTHER)
@@ -266,10 +269,13 @@ class Tagger:
         h = np.concatenate([f, b[::-1]], axis=2)
         return h @ p["v"] + p["d"], h, (f, kf, b, kb)
 
-    def fast(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """The emissions alone, of sequences of n characters, by a compiled runtime that takes the trained weights; the rounding differs a little."""
+    def fast(self, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The emissions alone, of sequences of n characters, by a compiled runtime that takes the trained weights; the rounding differs a little.
+        And (batch, 2 * kinds, time) what each character adds to a span of each kind as its first, then as a later one, see :func:`stretches`."""
         if self._run is None:
-            self._run = network.session(self.p, self.hidden)
+            _, _, stay = changes(self.p["a"] + _FORBIDDEN)
+            order, more = [*range(1, TAGS, 2), *range(2, TAGS, 2)], np.concatenate([np.zeros(len(KINDS)), stay]) + ROUNDING
+            self._run = network.session(self.p, self.hidden, order, more.astype(np.float32))
         return self._run(np.ascontiguousarray(x.T, np.int32), n.astype(np.int32))
 
     def __getstate__(self):
@@ -376,65 +382,117 @@ def spans_of(tags: np.ndarray, offset: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def averaged(texts: list[str], model: Tagger, batch: int = 64) -> list[np.ndarray]:
-    """The emissions (characters, tags) of whole texts. Where two windows overlap their
-    mean counts, a window the less the nearer its border is."""
+def emitted(texts: list[str], model: Tagger, batch: int = 512) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """For each text and window the emissions (characters, tags), and what its characters add to spans (2 * kinds, characters)."""
     codes = [encode(t) for t in texts]
     where = [(min(WINDOW, len(t) - s), i, s) for i, t in enumerate(texts) for s in window_starts(t)]
     where = sorted(x for x in where if x[0])  # windows of like length go together
-    out = [np.zeros((len(t), TAGS), np.float32) for t in texts]
-    both = WINDOW - STEP
-    ramp = (np.arange(1, both + 1) / (both + 1)).astype(np.float32)[:, None]
-    for at in range(0, len(where), batch):
-        part = where[at : at + batch]
+    out: list[list] = [[None] * len(window_starts(t)) if t else [] for t in texts]
+    at = 0
+    while at < len(where):
+        part = where[at : bisect_right(where, (where[at][0] * 10 // 9 + 16, len(texts)), at, min(at + batch, len(where)))]
+        at += len(part)
         x = np.zeros((len(part), part[-1][0] + PADDING), np.int16)
         for row, (n, i, s) in zip(x, part):
             row[:n] = codes[i][s : s + n]
-        em = model.fast(x, np.array([n + PADDING for n, *_ in part]))
+        em, gain = model.fast(x, np.array([n + PADDING for n, *_ in part]))
         for k, (n, i, s) in enumerate(part):
-            first, last = both if s else 0, n - both if s + n < len(texts[i]) else n
-            out[i][s + first : s + last] = em[first:last, k]
-            if first:
-                out[i][s : s + first] += em[:first, k] * ramp
-            if last < n:
-                out[i][s + last : s + n] += em[last:n, k] * ramp[::-1]
+            out[i][s // STEP] = em[:n, k], gain[k, :, :n]
     return out
 
 
-def plausible(em: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Which characters can lie in a span on the best path. A span of a kind is on it only if it gains
-    over no span: its first character's B-, the others' I-, and the best transitions into and out of it.
-    A character is out if no span of any kind that holds it can gain. Nothing on the best path is left out."""
-    kinds, after, e = range(1, TAGS, 2), [0, *range(1, TAGS, 2)], np.ascontiguousarray(em.T)
+def averaged(windows: list[np.ndarray], length: int, first: int, last: int) -> np.ndarray:
+    """The emissions of the characters from first to last of a text of this length. Where two
+    windows overlap their mean counts, a window the less the nearer its border is."""
+    out, both = np.zeros((last - first, TAGS), np.float32), WINDOW - STEP
+    ramp = (np.arange(1, both + 1) / (both + 1)).astype(np.float32)
+    for k in range(max(0, (first - WINDOW) // STEP), min(len(windows), last // STEP + 1)):
+        s, n = k * STEP, len(windows[k])
+        weight = np.ones(n, np.float32)
+        if s:
+            weight[:both] = ramp
+        if s + n < length:
+            weight[n - both :] = ramp[::-1]
+        lo, hi = max(s, first), min(s + n, last)
+        if lo < hi:
+            out[lo - first : hi - first] += windows[k][lo - s : hi - s] * weight[lo - s : hi - s, None]
+    return out
+
+
+def changes(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the best transitions into a span of each kind, out of it, and on within it give over those of no span."""
+    kinds, after = range(1, TAGS, 2), [0, *range(1, TAGS, 2)]
     into = np.array([max(a[p, b] - a[p, 0] for p in range(TAGS)) for b in kinds])
     leave = np.array([max(a[t, n] - a[0, n] for t in (b, b + 1) for n in after) for b in kinds])
     # from a B- to its first I- and on from I- to I-, whichever is better for all
     stay = np.array([max(a[b, b + 1], a[b + 1, b + 1]) - a[0, 0] for b in kinds])
+    return into, leave, stay
+
+
+def runs(keep: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], keep, [False]]).astype(np.int8))).tolist()
+    return list(zip(edge[::2], edge[1::2]))
+
+
+def stretches(gains: list[np.ndarray], length: int, a: np.ndarray) -> list[tuple[int, int]]:
+    """Parts of a text outside of which no span lies on the best path, in steps of windows.
+
+    As :func:`plausible` knows, a span must gain over no span. From the last window to the first, `on` is the most that
+    later characters can still add to a span of each kind; a part is in if a span that begins there can gain, and with it
+    those that follow as far as that span can reach. Where windows overlap the greater gain counts, as no mean is above it."""
+    into, leave, _ = changes(a)
+    least = (-1e-2 - np.maximum(into, 0) - np.maximum(leave, 0))[:, None]
+    kinds, both, hot = len(KINDS), WINDOW - STEP, np.zeros(len(gains), bool)
+    on = np.full((kinds, 1), -np.inf)
+    seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # what a part adds from its beginning on, at most and by all of it, and the best to its end from a beginning in it
+    for k in range(len(gains) - 1, -1, -1):
+        gain = gains[k] if k == len(gains) - 1 else gains[k][:, :STEP]
+        if k:
+            gain = np.concatenate([np.maximum(gain[:, :both], gains[k - 1][:, STEP:]), gain[:, both:]], axis=1)
+        total = np.cumsum(gain[kinds:], axis=1, dtype=float)
+        best = np.maximum.accumulate(total[:, ::-1], axis=1)[:, ::-1]
+        np.maximum(best, total[:, -1:] + on, out=best)
+        first = gain[:kinds] - total
+        hot[k] = (first + best >= least).any()
+        on = np.maximum(best[:, :1], 0)
+        seen.append((on, total[:, -1:], first.max(axis=1, keepdims=True) + total[:, -1:] if hot[k] else np.full((kinds, 1), -np.inf)))
+    reach = np.full((kinds, 1), -np.inf)
+    for k, (most, whole, begun) in enumerate(reversed(seen)):
+        inside = (reach + most >= least).any()
+        hot[k] |= inside
+        reach = np.maximum(reach + whole if inside else -np.inf, begun)
+    return [(s * STEP, length if e == len(gains) else e * STEP) for s, e in runs(hot)]
+
+
+def plausible(em: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Which characters can lie in a span on the best path. A span of a kind is on it only if it gains
+    over no span: its first character's B-, the others' I-, and the best transitions into and out of it.
+    A character is out if no span of any kind that holds it can gain. Nothing on the best path is left out."""
+    e, (into, leave, stay) = np.ascontiguousarray(em.T), changes(a)
     total = np.cumsum((e[2::2] - e[0]).astype(float) + stay[:, None], axis=1)
     up_to = total + np.maximum.accumulate(e[1::2] - e[0] - total, axis=1)  # the best span so far that holds this character
     on = np.maximum.accumulate(total[:, ::-1], axis=1)[:, ::-1] - total  # and the best way on
     return (up_to + on >= (-1e-2 - np.maximum(into, 0) - np.maximum(leave, 0))[:, None]).any(axis=0)
 
 
-def best_spans(em: np.ndarray, a: np.ndarray) -> list[tuple[int, int, int]]:
-    """The spans of the best path through the emissions of a whole text: the
-    Viterbi algorithm, run where spans are plausible; elsewhere the path is known to have none."""
-    keep = plausible(em, a)
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], keep, [False]]).astype(np.int8)))
+def best_spans(em: np.ndarray, a: np.ndarray, offset: int = 0, length: int | None = None) -> list[tuple[int, int, int]]:
+    """The spans of the best path through the emissions of a whole text, or of those from `offset` of a text of
+    this length that has no span beside them: the Viterbi algorithm, run where spans are plausible; elsewhere the path is known to have none."""
+    length = len(em) if length is None else length
     found: list[tuple[int, int, int]] = []
-    for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
-        score = em[s] + (a[0] if s else _START)
+    for s, e in runs(plausible(em, a)):
+        score = em[s] + (a[0] if s + offset else _START)
         back = np.empty((e - s, TAGS), np.int8)
         for t in range(s + 1, e):
             m = score[:, None] + a
             back[t - s] = m.argmax(axis=0)
             score = m.max(axis=0) + em[t]
-        tag = int((score + (a[:, 0] if e < len(em) else 0)).argmax())
+        tag = int((score + (a[:, 0] if e + offset < length else 0)).argmax())
         tags = np.zeros(e - s, np.int8)
         for t in range(e - s - 1, -1, -1):
             tags[t] = tag
             tag = int(back[t, tag]) if t else tag
-        found += spans_of(tags, s)
+        found += spans_of(tags, s + offset)
     return found
 
 
@@ -443,7 +501,9 @@ def find_spans(texts: list[str | None], model: Tagger) -> list[list[tuple[int, i
     found: list[list[tuple[int, int, int]]] = []
     for i, j in parts([t or "" for t in texts], PART):
         some = [t or "" for t in texts[i:j]]
-        found += [best_spans(em, a) if len(em) else [] for em in averaged(some, model)]
+        for text, windows in zip(some, emitted(some, model)):
+            ems, gains, n = [em for em, _ in windows], [gain for _, gain in windows], len(text)
+            found.append([x for s, e in stretches(gains, n, a) for x in best_spans(averaged(ems, n, s, e), a, s, n)])
     return found
 
 
