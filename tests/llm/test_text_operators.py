@@ -2,7 +2,11 @@
 
 import itertools
 import math
+import os
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -451,6 +455,23 @@ def test_parts_of_a_text_leave_no_span_out():
     assert found > 100
 
 
+def test_many_characters_take_little_memory():
+    """A million characters in a process of its own."""
+    code = """
+import resource
+from vectorloom.llm import pii
+m = pii.Tagger()
+m.p["d"][0] = 50
+used = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+pii.find_spans(["a text"], m)
+before, texts = used(), ["some words of a text " * 48] * 1000
+assert not any(pii.find_spans(texts, m))
+print(used() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(pii.__file__).parents[2], env=os.environ | {"OMP_NUM_THREADS": "1"})
+    assert float(out.stdout) < 180, out
+
+
 def test_few_characters_are_searched_kind_by_kind(model, monkeypatch):
     rest = "the old mill by the river was sold in 1999 and the new owner is said to like it, about as much as the last one did. " * 100
     text, seen, plausible = f"{rest}mail jane.doe@example.org today {rest}", [], pii.plausible

@@ -46,50 +46,47 @@ def _graph(name: str, steps: list[bytes], ins: list[bytes], outs: list[bytes], a
     return b"".join(_f(1, n) for n in steps) + _f(2, name) + b"".join(_f(5, a) for a in held) + b"".join(_f(11, i) for i in ins) + b"".join(_f(12, o) for o in outs)
 
 
-def graph(p: dict[str, np.ndarray], hidden: int, order: list[int], more: np.ndarray) -> bytes:
-    """Rows of the table of inputs (time, 1, batch), of either direction, and states of zero to emissions (time, 1, batch, tags) and to
-    how far (batch, order, time) those of the tags in `order`, with `more` added to each, are above the first tag's.
-
-    One scan runs both directions, so that each step is a few operations on the whole batch. As sigmoid(z) is
-    (tanh(z / 2) + 1) / 2, all gates are one tanh; their halves are in the weights, and the state that is passed on is twice the output."""
-    half = np.repeat(np.array([0.5, 0.5, 0.5, 1], np.float32), hidden)
-    # the last row of a table closes all gates: the state stays zero until the sequence begins
+def graph(p: dict[str, np.ndarray], hidden: int, v: np.ndarray) -> bytes:
+    """Rows of the table of inputs (time, 2, batch), of both directions in the order they read, and states of zero to
+    what each direction's state adds to the columns of v (time, 2, batch, columns).
+
+    One scan runs both directions, so that each step is a few operations on the whole batch; no states are kept, only the columns."""
+    # the last row of a direction's table closes all gates: the state is zero after it, as at the beginning
     closed = np.repeat(np.array([-50, -50, -50, 0], np.float32), hidden)[None]
-    table = np.concatenate([x for k in "fb" for x in ((p["e"] @ p[f"w{k}"] + p[f"b{k}"]) * half, closed)])
-    arrays = {"table": table, "u": np.stack([p[f"u{k}"] * half / 2 for k in "fb"]), "one": np.ones(1), "halved": np.full(1, 0.5), "d": p["d"], "d1": p["d"][order] - p["d"][0] + more}
-    for k, v in (("f", p["v"][:hidden] / 2), ("b", p["v"][hidden:] / 2)):
-        arrays |= {f"v{k}": v, f"r{k}": v[:, order] - v[:, :1]}
+    arrays = {"table": np.concatenate([x for k in "fb" for x in (p["e"] @ p[f"w{k}"] + p[f"b{k}"], closed)]), "u": np.stack([p[f"u{k}"] for k in "fb"]), "v": v.reshape(2, hidden, -1)}
     inner = [
-        _step("Concat", "xf xb", "x", axis=0), _step("Gather", "table x", "g"), _step("MatMul", "h u", "z"), _step("Add", "g z", "y"), _step("Tanh", "y", "t"), _step("Split", "t", "i f o q", axis=2),
-        _step("Add", "i one", "i1"), _step("Add", "f one", "f1"), _step("Add", "o one", "o1"), _step("Mul", "f1 c", "fc"), _step("Mul", "i1 q", "iq"), _step("Add", "fc iq", "s"),
-        _step("Mul", "s halved", "cn"), _step("Tanh", "cn", "e"), _step("Mul", "o1 e", "hn"), _step("Split", "hn", "hf hb", axis=0),
+        _step("Gather", "table x", "g"), _step("MatMul", "h u", "z"), _step("Add", "g z", "y"), _step("Split", "y", "yi yf yo yq", axis=2),
+        _step("Sigmoid", "yi", "i"), _step("Sigmoid", "yf", "f"), _step("Sigmoid", "yo", "o"), _step("Tanh", "yq", "q"),
+        _step("Mul", "f c", "fc"), _step("Mul", "i q", "iq"), _step("Add", "fc iq", "cn"), _step("Tanh", "cn", "e"), _step("Mul", "o e", "hn"), _step("MatMul", "hn v", "out"),
     ]
     state = (2, "batch", hidden)
-    body = _graph("step", inner, [_port("h", _FLOAT, *state), _port("c", _FLOAT, *state), *(_port(k, _INT, 1, "batch") for k in ("xf", "xb"))], [_port("hn", _FLOAT, *state), _port("cn", _FLOAT, *state), *(_port(k, _FLOAT, 1, "batch", hidden) for k in ("hf", "hb"))], {})
-    steps = [
-        _step("Scan", "h0 c0 f0 b0", "hl cl hfs hbs", body=body, num_scan_inputs=2, scan_input_directions=[0, 1], scan_output_directions=[0, 1]),
-        _step("MatMul", "hfs vf", "m1"), _step("MatMul", "hbs vb", "m2"), _step("Add", "m1 m2", "m3"), _step("Add", "m3 d", "out"),
-        _step("MatMul", "hfs rf", "r1"), _step("MatMul", "hbs rb", "r2"), _step("Add", "r1 r2", "r3"), _step("Add", "r3 d1", "r4"), _step("Transpose", "r4", "more", perm=[1, 2, 3, 0]),
-    ]
-    ins = [*(_port(k, _FLOAT, *state) for k in ("h0", "c0")), *(_port(k, _INT, "time", 1, "batch") for k in ("f0", "b0"))]
-    outs = [_port("out", _FLOAT, "time", 1, "batch", len(p["d"])), _port("more", _FLOAT, 1, "batch", len(order), "time")]
-    return _f(1, 8) + _f(7, _graph("tagger", steps, ins, outs, arrays)) + _f(8, _f(1, "") + _f(2, 14))
+    body = _graph("step", inner, [*(_port(k, _FLOAT, *state) for k in ("h", "c")), _port("x", _INT, 2, "batch")], [*(_port(k, _FLOAT, *state) for k in ("hn", "cn")), _port("out", _FLOAT, 2, "batch", v.shape[1])], {})
+    steps = [_step("Scan", "h0 c0 x0", "hl cl halves", body=body, num_scan_inputs=1)]
+    ins = [*(_port(k, _FLOAT, *state) for k in ("h0", "c0")), _port("x0", _INT, "time", 2, "batch")]
+    return _f(1, 8) + _f(7, _graph("tagger", steps, ins, [_port("halves", _FLOAT, "time", 2, "batch", v.shape[1])], arrays)) + _f(8, _f(1, "") + _f(2, 14))
 
 
-def session(p: dict[str, np.ndarray], hidden: int, order: list[int], more: np.ndarray):
-    """A function from classes (time, batch) and lengths to emissions (time, batch, tags) and gains (batch, order, time),
-    see :func:`graph`, on one thread, as tasks share a machine."""
+def session(p: dict[str, np.ndarray], hidden: int, v: np.ndarray, d: np.ndarray):
+    """A function from classes (time, batch) to the columns of v and d (batch, time, columns), see :func:`graph`, on one thread, as tasks
+    share a machine. The class after the last stands between sequences of a row and after them: neither direction carries anything over it."""
     import onnxruntime
 
     o = onnxruntime.SessionOptions()
     o.intra_op_num_threads = o.inter_op_num_threads = 1
-    s = onnxruntime.InferenceSession(graph(p, hidden, order, more), o, providers=["CPUExecutionProvider"])
-    closed = len(p["e"])
-
-    def run(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        zero = np.zeros((2, x.shape[1], hidden), np.float32)
-        back = np.where(np.arange(len(x))[:, None] < n, x, closed).astype(np.int32) + np.int32(closed + 1)
-        em, gain = s.run(["out", "more"], {"h0": zero, "c0": zero, "f0": x[:, None], "b0": back[:, None]})
-        return em[:, 0], gain[0]
+    s = onnxruntime.InferenceSession(graph(p, hidden, v), o, providers=["CPUExecutionProvider"])
+    table = np.int32(len(p["e"]) + 1)
+
+    def run(x: np.ndarray) -> np.ndarray:
+        steps, n = x.shape
+        zero, both = np.zeros((2, n, hidden), np.float32), np.empty((steps, 2, n), np.int32)
+        both[:, 0] = x
+        np.add(x[::-1], table, out=both[:, 1], casting="unsafe")
+        halves = s.run(["halves"], {"h0": zero, "c0": zero, "x0": both})[0].reshape(steps, 2, n * len(d))
+        out, constant = np.empty((n, steps, len(d)), np.float32), np.tile(d, n)
+        for t in range(0, steps, 16):  # few steps at once stay in the cache
+            both = halves[t : t + 16, 0] + halves[::-1, 1][t : t + 16]
+            both += constant
+            out[:, t : t + 16] = both.reshape(-1, n, len(d)).transpose(1, 0, 2)
+        return out
 
     return run

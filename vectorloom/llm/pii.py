@@ -24,7 +24,7 @@ from .textarray import parts
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SECRET", "SSN", "IBAN")
 WINDOW, STEP, HIDDEN, EMBED, STEPS, SEQUENCES, LENGTH = 1024, 960, 24, 16, 720, 10000, 72
 #: Characters whose emissions are held at once; a longer text is alone.
-PART = 1_000_000
+PART = 500_000
 #: Marks of the end that a window is read with, as texts are in training.
 PADDING = 8
 #: More than two sums of the same products differ by a character.
@@ -33,6 +33,10 @@ _ASCII = {c: i + 1 for i, c in enumerate(string.printable)}
 _OTHER = ("lower", "upper", "digit", "space", "sign")
 CHARS = 1 + len(_ASCII) + len(_OTHER)
 TAGS = 1 + 2 * len(KINDS)
+#: The class of no character, that parts the sequences of a row.
+CLOSED = CHARS
+#: Columns of the scores of first characters, and of those of later ones.
+SIDE = 1 + len(KINDS)
 
 
 def _code(c: str) -> int:
@@ -269,14 +273,20 @@ class Tagger:
         h = np.concatenate([f, b[::-1]], axis=2)
         return h @ p["v"] + p["d"], h, (f, kf, b, kb)
 
-    def fast(self, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The emissions alone, of sequences of n characters, by a compiled runtime that takes the trained weights; the rounding differs a little.
-        And (batch, 2 * kinds, time) what each character adds to a span of each kind as its first, then as a later one, see :func:`stretches`."""
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """(batch, time, 2 * SIDE) for classes (time, batch), by a compiled runtime that takes the trained weights: the emissions of no span, then how far
+        those of each kind's B- are above, then a zero, then those of I-. A row can hold several sequences: CLOSED stands between them and after them."""
         if self._run is None:
-            _, _, stay = changes(self.p["a"] + _FORBIDDEN)
-            order, more = [*range(1, TAGS, 2), *range(2, TAGS, 2)], np.concatenate([np.zeros(len(KINDS)), stay]) + ROUNDING
-            self._run = network.session(self.p, self.hidden, order, more.astype(np.float32))
-        return self._run(np.ascontiguousarray(x.T, np.int32), n.astype(np.int32))
+            v, d = (np.concatenate([w[..., :1], w[..., 1::2] - w[..., :1], 0 * w[..., :1], w[..., 2::2] - w[..., :1]], axis=-1) for w in (self.p["v"], self.p["d"]))
+            self._run = network.session(self.p, self.hidden, v, d)
+        return self._run(x)
+
+    def fast(self, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The emissions (time, batch, tags) of sequences of n characters (batch, time), with the rounding of :meth:`scores`,
+        and (batch, 2 * kinds, time) what each character adds to a span of each kind as its first, then as a later one, see :func:`stretches`."""
+        s = self.scores(np.where(np.arange(x.shape[1])[:, None] < n, x.T, CLOSED))
+        gain = s + more(self.p["a"] + _FORBIDDEN)
+        return tagged(s).transpose(1, 0, 2), np.concatenate([gain[..., 1:SIDE], gain[..., SIDE + 1 :]], axis=-1).transpose(0, 2, 1)
 
     def __getstate__(self):
         return self.__dict__ | {"_run": None}
@@ -382,22 +392,39 @@ def spans_of(tags: np.ndarray, offset: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def emitted(texts: list[str], model: Tagger, batch: int = 512) -> list[list[tuple[np.ndarray, np.ndarray]]]:
-    """For each text and window the emissions (characters, tags), and what its characters add to spans (2 * kinds, characters)."""
+def rows_of(lengths: list[int], room: int = WINDOW + PADDING) -> list[list[tuple[int, int]]]:
+    """Rows of (sequence, place) that hold sequences of these lengths with their padding, the longest that still fits next, and one character between two."""
+    left = sorted((n + PADDING, i) for i, n in enumerate(lengths))
+    out: list[list[tuple[int, int]]] = []
+    while left:
+        row, at = [], 0
+        while k := bisect_right(left, (room - at, len(lengths))):
+            n, i = left.pop(k - 1)
+            row.append((i, at))
+            at += n + 1
+        out.append(row)
+    return out
+
+
+def emitted(texts: list[str], model: Tagger, batch: int = 192) -> list[list[np.ndarray]]:
+    """For each text and window the scores (characters, 2 * SIDE)."""
     codes = [encode(t) for t in texts]
-    where = [(min(WINDOW, len(t) - s), i, s) for i, t in enumerate(texts) for s in window_starts(t)]
-    where = sorted(x for x in where if x[0])  # windows of like length go together
+    windows = [(i, s, min(WINDOW, len(t) - s)) for i, t in enumerate(texts) if t for s in window_starts(t)]
     out: list[list] = [[None] * len(window_starts(t)) if t else [] for t in texts]
-    at = 0
-    while at < len(where):
-        part = where[at : bisect_right(where, (where[at][0] * 10 // 9 + 16, len(texts)), at, min(at + batch, len(where)))]
-        at += len(part)
-        x = np.zeros((len(part), part[-1][0] + PADDING), np.int16)
-        for row, (n, i, s) in zip(x, part):
-            row[:n] = codes[i][s : s + n]
-        em, gain = model.fast(x, np.array([n + PADDING for n, *_ in part]))
-        for k, (n, i, s) in enumerate(part):
-            out[i][s // STEP] = em[:n, k], gain[k, :, :n]
+    rows = rows_of([n for *_, n in windows])
+    each = -(-len(rows) // max(1, -(-len(rows) // batch)))  # batches of like size
+    for at in range(0, len(rows), each or 1):
+        part = rows[at : at + each]
+        x = np.full((len(part), max(p + windows[w][2] for row in part for w, p in row) + PADDING), CLOSED, np.int16)
+        for line, row in zip(x, part):
+            for w, p in row:
+                i, s, n = windows[w]
+                line[p : p + n], line[p + n : p + n + PADDING] = codes[i][s : s + n], 0
+        scores = model.scores(x.T)
+        for k, row in enumerate(part):
+            for w, p in row:
+                i, s, n = windows[w]
+                out[i][s // STEP] = scores[k, p : p + n]
     return out
 
 
@@ -421,6 +448,12 @@ def averaged(windows: list[np.ndarray], length: int, first: int, last: int) -> n
 
 def changes(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What the best transitions into a span of each kind, out of it, and on within it give over those of no span."""
+    return _changes(a.tobytes(), a.dtype.str)
+
+
+@lru_cache(8)
+def _changes(raw: bytes, dtype: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    a = np.frombuffer(raw, dtype).reshape(TAGS, TAGS)
     kinds, after = range(1, TAGS, 2), [0, *range(1, TAGS, 2)]
     into = np.array([max(a[p, b] - a[p, 0] for p in range(TAGS)) for b in kinds])
     leave = np.array([max(a[t, n] - a[0, n] for t in (b, b + 1) for n in after) for b in kinds])
@@ -429,39 +462,96 @@ def changes(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return into, leave, stay
 
 
-def runs(keep: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], keep, [False]]).astype(np.int8))).tolist()
-    return list(zip(edge[::2], edge[1::2]))
+def tagged(scores: np.ndarray) -> np.ndarray:
+    """Emissions (..., tags) of scores."""
+    out = np.empty((*scores.shape[:-1], TAGS), np.float32)
+    out[..., 0] = scores[..., 0]
+    out[..., 1::2], out[..., 2::2] = scores[..., 1:SIDE] + scores[..., :1], scores[..., SIDE + 1 :] + scores[..., :1]
+    return out
 
 
-def stretches(gains: list[np.ndarray], length: int, a: np.ndarray) -> list[tuple[int, int]]:
-    """Parts of a text outside of which no span lies on the best path, in steps of windows.
+def more(a: np.ndarray) -> np.ndarray:
+    """What is added to scores to have what a character adds to a span: the way on within it, and the rounding."""
+    out = np.full(2 * SIDE, ROUNDING, np.float32)
+    out[SIDE + 1 :] += changes(a)[2].astype(np.float32)
+    return out
+
+
+def owned(windows: list[np.ndarray]) -> list[np.ndarray]:
+    """The parts of a text's windows up to the next one's beginning. Where windows overlap the greater score counts, as no mean is above it."""
+    out = [w[:STEP] for w in windows[:-1]] + windows[-1:]
+    for k in range(1, len(out)):
+        out[k] = np.concatenate([np.maximum(out[k][: WINDOW - STEP], windows[k - 1][STEP:]), out[k][WINDOW - STEP :]])
+    return out
+
+
+def summaries(parts: list[np.ndarray], add: np.ndarray, lanes: int = 256) -> np.ndarray:
+    """(parts, 4, kinds) of each part's scores, with `add` to each: the most that a span gains that begins and ends in it, the most that its characters add
+    from its beginning on, what all of them add, and the most from a first character in it to its end. Parts of like length are gone through
+    side by side, from their ends."""
+    order, out = sorted(range(len(parts)), key=lambda k: len(parts[k])), np.empty((len(parts), 4, SIDE), np.float32)
+    nothing = np.where(np.arange(2 * SIDE) < SIDE, np.float32(-1e9), 0) - add
+    for at in range(0, len(order), lanes):
+        some = order[at : at + lanes]
+        n, steps = len(some), len(parts[some[-1]])
+        scores = np.empty((steps, n, 2 * SIDE), np.float32)
+        for lane, k in enumerate(some):
+            scores[: len(parts[k]), lane] = parts[k]
+            scores[len(parts[k]) :, lane] = nothing
+        scores = scores.reshape(steps, -1)
+        constant = np.tile(add, n)
+        # both sides in one go: what later characters add stands SIDE columns after the first ones it is added to
+        on, total = np.zeros(2 * n * SIDE, np.float32), np.zeros(2 * n * SIDE, np.float32)
+        best, begun, value = (np.full(len(on) - SIDE, -np.inf, np.float32) for _ in range(3))
+        for s in scores[::-1]:
+            s += constant
+            np.maximum(best, np.add(s[:-SIDE], on[SIDE:], out=value), out=best)
+            np.maximum(begun, np.add(s[:-SIDE], total[SIDE:], out=value), out=begun)
+            total += s
+            on += s
+            np.maximum(on, 0, out=on)
+        best, begun = (np.append(x, np.zeros(SIDE, np.float32)).reshape(n, 2 * SIDE)[:, :SIDE] for x in (best, begun))
+        on, total = (x.reshape(n, 2 * SIDE)[:, SIDE:] for x in (on, total))
+        out[some] = np.stack([best, on, total, begun], axis=1)
+    return out[:, :, 1:]
+
+
+def reached(sums: np.ndarray, length: int, a: np.ndarray) -> list[tuple[int, int]]:
+    """Parts of a text outside of which no span lies on the best path, in steps of windows, from the :func:`summaries` of those.
 
     As :func:`plausible` knows, a span must gain over no span. From the last window to the first, `on` is the most that
     later characters can still add to a span of each kind; a part is in if a span that begins there can gain, and with it
-    those that follow as far as that span can reach. Where windows overlap the greater gain counts, as no mean is above it."""
+    those that follow as far as that span can reach."""
     into, leave, _ = changes(a)
-    least = (-1e-2 - np.maximum(into, 0) - np.maximum(leave, 0))[:, None]
-    kinds, both, hot = len(KINDS), WINDOW - STEP, np.zeros(len(gains), bool)
-    on = np.full((kinds, 1), -np.inf)
-    seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # what a part adds from its beginning on, at most and by all of it, and the best to its end from a beginning in it
-    for k in range(len(gains) - 1, -1, -1):
-        gain = gains[k] if k == len(gains) - 1 else gains[k][:, :STEP]
-        if k:
-            gain = np.concatenate([np.maximum(gain[:, :both], gains[k - 1][:, STEP:]), gain[:, both:]], axis=1)
-        total = np.cumsum(gain[kinds:], axis=1, dtype=float)
-        best = np.maximum.accumulate(total[:, ::-1], axis=1)[:, ::-1]
-        np.maximum(best, total[:, -1:] + on, out=best)
-        first = gain[:kinds] - total
-        hot[k] = (first + best >= least).any()
-        on = np.maximum(best[:, :1], 0)
-        seen.append((on, total[:, -1:], first.max(axis=1, keepdims=True) + total[:, -1:] if hot[k] else np.full((kinds, 1), -np.inf)))
-    reach = np.full((kinds, 1), -np.inf)
-    for k, (most, whole, begun) in enumerate(reversed(seen)):
-        inside = (reach + most >= least).any()
-        hot[k] |= inside
-        reach = np.maximum(reach + whole if inside else -np.inf, begun)
-    return [(s * STEP, length if e == len(gains) else e * STEP) for s, e in runs(hot)]
+    least = -2e-2 - np.maximum(into, 0) - np.maximum(leave, 0)
+    hot = (sums[:, 0] >= least).any(axis=1)
+    if len(sums) > 1:
+        on, ahead = np.zeros(len(KINDS)), []
+        for k in range(len(sums) - 1, -1, -1):
+            _, most, whole, begun = sums[k]
+            hot[k] |= (begun + on >= least).any()
+            on = np.maximum(most, whole + on)
+            ahead.append(on)
+        if hot.any():
+            reach = np.full(len(KINDS), -np.inf)
+            for k, most in enumerate(reversed(ahead)):
+                inside = (reach + most >= least).any()
+                reach = np.maximum(reach + sums[k, 2] if inside else -np.inf, sums[k, 3] if hot[k] else -np.inf)
+                hot[k] |= inside
+    return [(s * STEP, length if e == len(sums) else e * STEP) for s, e in runs(hot)]
+
+
+def runs(keep: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], keep, [False]]).astype(np.int8))).tolist()
+    return list(zip(edge[::2], edge[1::2]))
+
+
+def stretches(gains: list[np.ndarray], length: int, a: np.ndarray) -> list[tuple[int, int]]:
+    """:func:`reached` for one text, by what each character of its windows adds to spans (2 * kinds, characters)."""
+    kinds, windows = len(KINDS), [np.zeros((g.shape[1], 2 * SIDE), np.float32) for g in gains]
+    for w, g in zip(windows, gains):
+        w[:, 1:SIDE], w[:, SIDE + 1 :] = g[:kinds].T, g[kinds:].T
+    return reached(summaries(owned(windows), np.zeros(2 * SIDE, np.float32)), length, a)
 
 
 def plausible(em: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -501,9 +591,13 @@ def find_spans(texts: list[str | None], model: Tagger) -> list[list[tuple[int, i
     found: list[list[tuple[int, int, int]]] = []
     for i, j in parts([t or "" for t in texts], PART):
         some = [t or "" for t in texts[i:j]]
-        for text, windows in zip(some, emitted(some, model)):
-            ems, gains, n = [em for em, _ in windows], [gain for _, gain in windows], len(text)
-            found.append([x for s, e in stretches(gains, n, a) for x in best_spans(averaged(ems, n, s, e), a, s, n)])
+        windows = emitted(some, model)
+        sums, at = summaries([p for w in windows for p in owned(w)], more(a)), 0
+        for text, own in zip(some, windows):
+            hot = reached(sums[at : at + len(own)], len(text), a)
+            at += len(own)
+            ems = [tagged(w) for w in own] if hot else []
+            found.append([x for s, e in hot for x in best_spans(averaged(ems, len(text), s, e), a, s, len(text))])
     return found
 
 
