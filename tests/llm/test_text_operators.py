@@ -455,6 +455,34 @@ def test_parts_of_a_text_leave_no_span_out():
     assert found > 100
 
 
+def test_sequences_of_a_row_leave_each_other_alone(monkeypatch):
+    m, rng, seen = pii.Tagger(hidden=5, embed=3), np.random.default_rng(1), []
+    letters = np.array(list("abcdeXYZ019 .@-"))
+    texts = ["".join(rng.choice(letters, n)) for n in [*rng.integers(1, 700, 60), 1024, 2100, 2, 960, 1025]]
+    rows = pii.rows_of([len(t) for t in texts if len(t) <= pii.WINDOW])
+    assert sorted(i for row in rows for i, _ in row) == list(range(sum(len(t) <= pii.WINDOW for t in texts)))
+    scores = m.scores
+    monkeypatch.setattr(m, "scores", lambda x: seen.append(x.size) or scores(x))
+    got = pii.emitted([*texts, ""], m, batch=5)
+    assert got[-1] == [] and sum(seen) < 1.25 * sum(map(len, texts))  # little of a row is empty
+    for t, windows in zip(texts, got):
+        for s, w in zip(pii.window_starts(t), windows, strict=True):
+            part = t[s : s + pii.WINDOW]
+            alone = m.emissions(np.pad(pii.encode(part)[None], ((0, 0), (0, pii.PADDING))))[0][: len(part), 0]
+            assert np.allclose(pii.tagged(w), alone, atol=1e-4)
+
+
+def test_sums_of_parts_against_brute_force():
+    rng, add = np.random.default_rng(2), np.full(2 * pii.SIDE, 0.5, np.float32)
+    parts = [rng.standard_normal((n, 2 * pii.SIDE)).astype(np.float32) - 1 for n in (1, 7, 30, 2, 19)]
+    for part, got in zip(parts, pii.summaries(parts, add, lanes=2)):
+        for k in range(1, pii.SIDE):
+            f, c = (part + add)[:, k], (part + add)[:, pii.SIDE + k]
+            best = max(f[i] + c[i + 1 : j].sum() for i in range(len(f)) for j in range(i + 1, len(f) + 1))
+            want = [best, max(c[:j].sum() for j in range(len(f) + 1)), c.sum(), max(f[i] + c[i + 1 :].sum() for i in range(len(f)))]
+            assert np.allclose(got[:, k - 1], want, atol=1e-4)
+
+
 def test_many_characters_take_little_memory():
     """A million characters in a process of its own."""
     code = """
