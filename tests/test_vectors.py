@@ -256,3 +256,25 @@ def test_transformer(spark):
         assert np.allclose([got[k, i] for i in range(len(m))], out) and np.allclose(out.mean(axis=1), 0) and np.allclose(out.std(axis=1), 1, atol=1e-3)
     with pytest.raises(ValueError):
         transformer.Encoder(1, 4, 6, 8)
+
+
+def test_long_sequences_are_encoded_in_tiles(spark):
+    import tracemalloc
+
+    enc = transformer.Encoder(2, 2, 6, 8)
+    x = np.random.default_rng(2).normal(size=(2500, 6))
+    tracemalloc.start()
+    out = enc.encode(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6  # the scores of one head alone take 50 MB
+    h = x + transformer.position_encoding(2500, 6)
+    p = enc.layers[0]
+    q = (h @ p["qkv"]).reshape(2500, 2, 3)
+    s = np.einsum("ihd,jhd->hij", q, q) / np.sqrt(3)
+    w = np.exp(s - s.max(axis=2, keepdims=True))
+    whole = np.einsum("hij,jhd->ihd", w / w.sum(axis=2, keepdims=True), q).reshape(2500, 6) @ p["out"]
+    assert np.allclose(enc.attention(h, p), whole, atol=1e-12)
+    df = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(x)] + [(2, 7, [1.0] * 6)], "k int, i int, vec array<double>").repartition(3)
+    got = {(r["k"], r["i"]): r["vec"] for r in transformer.encode_sequences(df, enc, "k", "i", block=100).collect()}
+    assert len(got) == 2501 and np.allclose([got[1, i] for i in range(2500)], out, atol=1e-12) and np.allclose(got[2, 7], enc.encode(np.ones((1, 6))))
