@@ -106,6 +106,23 @@ def test_byte_pairs(spark):
         assert bpe.encode_py(w) == list(s)
 
 
+def test_byte_pairs_from_few_runs_at_a_time(spark, monkeypatch):
+    import random
+
+    held = []
+    merge = tokenizers.Bpe._merge
+    monkeypatch.setattr(tokenizers.Bpe, "_merge", staticmethod(lambda words, *more: held.append(len(words)) or merge(words, *more)))
+    rnd = random.Random(5)
+    for letters, most in (("ab", 30), ("aeinrst\u00e9\U0001f600", 100)):
+        words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 9))) for _ in range(400)]
+        counts = tokenizers.word_counts(spark.createDataFrame([(w,) for w in words], "word string"))
+        held.clear()
+        bpe = tokenizers.Bpe.train(counts, 40, most)
+        assert list(bpe.merges) == brute_bpe(words, 40)
+        assert bpe.vocab == {s: k for k, s in enumerate(dict.fromkeys([*sorted({*"".join(words), tokenizers.END}), *map("".join, bpe.merges)]))}
+        assert len(held) > 1 and max(held) <= most
+
+
 def test_word_pieces(spark):
     df = spark.createDataFrame([(w,) for w in WORDS], "word string")
     wp = tokenizers.WordPiece.train(tokenizers.word_counts(df), 40)

@@ -1,7 +1,7 @@
 """Subword tokenizers: byte-pair merges, greedy word pieces, character n-grams.
 
 Training counts words with Spark; what is left for the driver is one pass a
-merge over distinct words. Encoding is an Arrow UDF that remembers words.
+merge over a bounded number of different runs of symbols. Encoding is an Arrow UDF that remembers words.
 """
 
 from __future__ import annotations
@@ -10,11 +10,17 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..sources.shared import written
+
+#: Different runs of symbols that the driver merges at a time.
+MOST_RUNS = 100_000
 END, UNKNOWN = "</w>", "[UNK]"
 SPECIALS = ("[PAD]", UNKNOWN, "[CLS]", "[SEP]", "[MASK]")
 
@@ -32,11 +38,11 @@ def pair_counts(counts: DataFrame) -> DataFrame:
     return counts.select("n", F.explode(pairs).alias("p")).groupBy("p.left", "p.right").agg(F.sum("n").alias("n"))
 
 
-def _merged(symbols: tuple[str, ...], a: str, b: str) -> tuple[str, ...]:
-    out, i = [], 0
+def _merged(symbols: tuple, a, b, both=None) -> tuple:
+    out, i, both = [], 0, a + b if both is None else both
     while i < len(symbols):
         if i + 1 < len(symbols) and symbols[i] == a and symbols[i + 1] == b:
-            out.append(a + b)
+            out.append(both)
             i += 2
         else:
             out.append(symbols[i])
@@ -44,6 +50,66 @@ def _merged(symbols: tuple[str, ...], a: str, b: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _numbers(words: pa.Array, codes: np.ndarray, end: int, merges: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of words laid end to end, as numbers and after all merges (a, b, both), and the word of each."""
+    points = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), "<u4")
+    sizes = pc.utf8_length(words).to_numpy() + 1
+    flat, word = np.full(int(sizes.sum()), end, np.int64), np.repeat(np.arange(len(sizes)), sizes)
+    inside = np.ones(len(flat), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    flat[inside] = np.searchsorted(codes, points)
+    for a, b, both in merges:
+        hit = np.flatnonzero((flat[:-1] == a) & (flat[1:] == b) & (word[:-1] == word[1:]))
+        if not len(hit):
+            continue
+        if a == b:  # every other one of hits side by side, from the left
+            first = np.concatenate([[True], np.diff(hit) != 1])
+            hit = hit[(np.arange(len(hit)) - np.maximum.accumulate(np.where(first, np.arange(len(hit)), 0))) % 2 == 0]
+        flat[hit] = both
+        flat, word = np.delete(flat, hit + 1), np.delete(word, hit + 1)
+    return flat, word
+
+
+def _symbol_pairs(words: DataFrame, numbers: tuple) -> dict[tuple[int, int], int]:
+    """How often every two symbols are neighbours."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                flat, word = _numbers(batch.column(0), *numbers)
+                near = word[:-1] == word[1:]
+                t = pa.table({"a": flat[:-1][near], "b": flat[1:][near], "n": batch.column(1).to_numpy()[word[:-1][near]]})
+                yield from t.group_by(["a", "b"]).aggregate([("n", "sum")]).select(["a", "b", "n_sum"]).rename_columns(["a", "b", "n"]).to_batches()
+
+    got = words.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    return {(a, b): n for a, b, n in zip(*(got.column(c).to_pylist() for c in ("a", "b", "n")))}
+
+
+def _runs(words: DataFrame, numbers: tuple, kept: list[tuple[int, int]]) -> DataFrame:
+    """(run, n): the longest runs of symbols whose neighbours all are pairs of `kept`."""
+    base = 1 + max(max(p) for p in kept)
+    keys = np.sort(np.array([a * base + b for a, b in kept], np.int64))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat, word = _numbers(batch.column(0), *numbers)
+            key = np.where((flat[:-1] < base) & (flat[1:] < base), flat[:-1] * base + flat[1:], -1)
+            on = (word[:-1] == word[1:]) & (keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key)
+            after, before = np.append(on, False), np.insert(on, 0, False)
+            used, first = after | before, after & ~before
+            if not first.any():
+                continue
+            starts = (np.cumsum(used) - 1)[first]
+            ends = np.append(starts, used.sum()) * 4
+            found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat[used].astype(np.int32))])
+            t = pa.table({"run": found, "n": batch.column(1).to_numpy()[word[first]]}).group_by("run").aggregate([("n", "sum")])
+            yield from t.select(["run", "n_sum"]).rename_columns(["run", "n"]).to_batches()
+
+    return written(words.mapInArrow(run, "run binary, n long").groupBy("run").agg(F.sum("n").alias("n")), "runs")
+
+
 @dataclass(frozen=True)
 class Bpe:
     """merges in the order they were learned; vocab maps symbols to ids."""
@@ -52,29 +118,65 @@ class Bpe:
     vocab: dict[str, int]
 
     @classmethod
-    def train(cls, counts: DataFrame, size: int) -> Bpe:
+    def train(cls, counts: DataFrame, size: int, most: int = MOST_RUNS) -> Bpe:
         """Learns merges from (word, n) until the vocabulary has `size`
         symbols. The most frequent pair goes first; ties go to the least pair.
 
-        Distinct words are held on the driver; only words that hold the merged pair are looked at again."""
-        words = [[tuple(r["word"]) + (END,), r["n"]] for r in counts.orderBy("word").collect()]
-        vocab: dict[str, int] = {}
-        for s in sorted({s for w, _ in words for s in w}):
-            vocab[s] = len(vocab)
+        Words stay in the tasks. Each round counts all pairs and cuts the words to runs of the most
+        frequent ones, of which the driver gets at most `most` different ones (more only if one pair alone has them).
+        A pair across a cut, and any that merges make there, is no more frequent than the first pair left
+        out, so the round's merges are those of the whole words while they are more frequent than that."""
+        words = written(counts.select("word", F.col("n").cast("long").alias("n")), "words")
+        n_words = words.count()
+        chars = sorted(r["c"] for r in words.select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct().collect())
+        symbols = [*chars, END] if n_words else []
+        vocab = {s: k for k, s in enumerate(sorted(symbols))}
+        number = {s: k for k, s in enumerate(symbols)}
+        codes, merges, keep = np.array([ord(c) for c in chars], np.int64), [], 64
+        while len(vocab) < size:
+            numbers = (codes, len(chars), list(merges))
+            pairs = _symbol_pairs(words, numbers)
+            if not pairs:
+                break
+            ranked = sorted(pairs, key=lambda p: (-pairs[p], symbols[p[0]], symbols[p[1]]))
+            keep = len(ranked) if n_words <= most else min(keep, len(ranked))
+            while (runs := _runs(words, numbers, ranked[:keep])).count() > most and keep > 1:
+                keep //= 2
+            least = pairs[ranked[keep]] if keep < len(ranked) else 0
+            got = runs.toArrow()
+            held = [[tuple(np.frombuffer(r, np.int32).tolist()), n] for r, n in zip(got.column("run").to_pylist(), got.column("n").to_pylist())]
+            if len(held) < most // 4:
+                keep *= 2
+            merges += cls._merge(held, symbols, number, vocab, size, least)
+        return cls(tuple((symbols[a], symbols[b]) for a, b, _ in merges), vocab)
+
+    @staticmethod
+    def _merge(words: list, symbols: list[str], number: dict[str, int], vocab: dict[str, int], size: int, least: int) -> list[tuple[int, int, int]]:
+        """The merges of [symbols, n] while the best pair is more frequent than `least`, one in any case.
+        Ends where a merge gives a symbol that was there: its pairs may lie across several cuts."""
         pairs: Counter = Counter()
-        where: dict[tuple[str, str], set[int]] = defaultdict(set)
+        where: dict[tuple[int, int], set[int]] = defaultdict(set)
         for i, (w, n) in enumerate(words):
             for p in zip(w, w[1:]):
                 pairs[p] += n
                 where[p].add(i)
-        merges = []
+        out: list[tuple[int, int, int]] = []
         while len(vocab) < size and pairs:
-            best = min(pairs, key=lambda p: (-pairs[p], p))
-            merges.append(best)
-            vocab.setdefault("".join(best), len(vocab))
+            best = min(pairs, key=lambda p: (-pairs[p], symbols[p[0]], symbols[p[1]]))
+            if out and pairs[best] <= least:
+                break
+            text = symbols[best[0]] + symbols[best[1]]
+            known = text in number
+            if not known:
+                number[text] = len(symbols)
+                symbols.append(text)
+            vocab.setdefault(text, len(vocab))
+            out.append((*best, number[text]))
+            if known and least:
+                break
             for i in sorted(where.pop(best)):
                 w, n = words[i]
-                new = _merged(w, *best)
+                new = _merged(w, *best, number[text])
                 for p in zip(w, w[1:]):
                     pairs[p] -= n
                     if pairs[p] <= 0:
@@ -84,7 +186,7 @@ class Bpe:
                     where[p].add(i)
                 words[i][0] = new
             pairs.pop(best, None)
-        return cls(tuple(merges), vocab)
+        return out
 
     def encode_py(self, text: str) -> list[str]:
         """The symbols of a text, taken as one word: each merge is applied once, in the order learned."""
