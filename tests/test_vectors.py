@@ -278,3 +278,27 @@ def test_long_sequences_are_encoded_in_tiles(spark):
     df = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(x)] + [(2, 7, [1.0] * 6)], "k int, i int, vec array<double>").repartition(3)
     got = {(r["k"], r["i"]): r["vec"] for r in transformer.encode_sequences(df, enc, "k", "i", block=100).collect()}
     assert len(got) == 2501 and np.allclose([got[1, i] for i in range(2500)], out, atol=1e-12) and np.allclose(got[2, 7], enc.encode(np.ones((1, 6))))
+
+
+def test_checked_graph_search_is_exact(cloud):
+    x, df = cloud
+    loose = {(r["query"], r["neighbor"]) for r in ann.hnsw_search(df, df, 10, 1, m=2, ef_construction=2, ef_search=2).collect()}
+    got = ann.hnsw_search(df, df, 10, 2, m=2, ef_construction=2, ef_search=2, checked=True).collect()
+    assert loose != exact(x, 10) and {(r["query"], r["neighbor"]) for r in got} == exact(x, 10) and len(got) == 4000
+
+
+def test_hashed_search_by_blocks_gives_the_joined_pairs(spark, cloud, monkeypatch):
+    x, df = cloud
+    df = df.select("word_id", "vec").union(spark.createDataFrame([(900, [0.0] * x.shape[1]), (901, x[3].tolist()), (902, None)], "word_id long, vec array<double>"))
+    monkeypatch.setattr(ann, "BLOCK", 90)
+    index = ann.LshIndex(x.shape[1], 5, 3)
+    bucket = {(r["table_id"], r["word_id"]): r["bucket"] for r in index.buckets(df).collect()}
+    v = {r["word_id"]: np.array(r["vec"]) for r in df.collect() if r["vec"] and any(r["vec"])}
+    cos = lambda a, b: float(v[a] @ v[b] / np.linalg.norm(v[a]) / np.linalg.norm(v[b]))
+    want = []
+    for q in (0, 3, 7, 901):
+        near = sorted((-round(cos(q, o), 9), o) for o in v if o != q and any(bucket[t, q] == bucket[t, o] for t in range(5)))[:6]
+        want += [(q, o, rank) for rank, (_, o) in enumerate(near, 1)]
+    found = index.query(df, df.where("word_id in (0, 3, 7, 900, 901)"), 6)
+    assert sorted((r["query"], r["neighbor"], r["rank"]) for r in found.collect()) == sorted(want)
+    assert "Cartesian" in found._jdf.queryExecution().toString()
