@@ -208,3 +208,11 @@ def test_any_text_is_processed(spark):
     for r in text.sentences(df, every).collect():
         assert r["words"] and all(w and not re.search(r"[0-9.!?\s]", w) for w in r["words"])
     code.code_sentences(df, code.CodeProcessor(language="python")).count()
+
+
+def test_cooccurrence_shuffles_once(spark):
+    df = corpus(spark, [(0, 0, "a b a a c".split()), (1, 0, ["one"]), (2, 0, "b a".split())])
+    want = Counter((r["target"], r["context"]) for r in windows.context_pairs(df, 2).collect())
+    got = windows.cooccurrence(df, 2)
+    assert {(r["target"], r["context"]): r["n"] for r in got.collect()} == want
+    assert got._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 2
