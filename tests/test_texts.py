@@ -210,6 +210,17 @@ def test_any_text_is_processed(spark):
     code.code_sentences(df, code.CodeProcessor(language="python")).count()
 
 
+def test_pairs_are_summed_up_document_by_document(spark):
+    df = spark.createDataFrame([(1, "the cat sat. one! a b c\nz y"), (2, "alone. single"), (3, None), (1, "b a"), (4, "two words")], "doc_id long, text string")
+    s = text.sentences(df)
+    pair = F.concat_ws(" ", "word1", "word2")
+    both = windows.positive_pairs(s).withColumn("apart", F.lit(1)).union(windows.negative_pairs(s).withColumn("apart", F.lit(2)))
+    want = both.groupBy("doc_id", "apart").agg(F.count("*").alias("n"), F.min(pair).alias("least"), F.max(pair).alias("last"))
+    got = windows.pair_summaries(df, text.TextProcessor().sentences(F.col("text")))
+    assert got.schema == want.schema or got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_cooccurrence_shuffles_once(spark):
     df = corpus(spark, [(0, 0, "a b a a c".split()), (1, 0, ["one"]), (2, 0, "b a".split())])
     want = Counter((r["target"], r["context"]) for r in windows.context_pairs(df, 2).collect())
