@@ -227,3 +227,11 @@ def test_cooccurrence_shuffles_once(spark):
     got = windows.cooccurrence(df, 2)
     assert {(r["target"], r["context"]): r["n"] for r in got.collect()} == want
     assert got._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 2
+
+
+def test_contexts_are_counted_without_being_made(spark):
+    df = corpus(spark, [(d, i, ["w"] * n) for d, i, n in [(0, 0, 7), (0, 1, 1), (1, 0, 1), (2, 0, 0), (3, 0, 2), (3, 1, 30), (4, 0, 6)]])
+    for w in (1, 5):
+        want = {(r["doc_id"], r["count"]) for r in windows.context_pairs(df, w).groupBy("doc_id").count().collect()}
+        got = windows.context_counts(df, w)
+        assert {tuple(r) for r in got.collect()} == want and "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
