@@ -235,3 +235,18 @@ def test_contexts_are_counted_without_being_made(spark):
         want = {(r["doc_id"], r["count"]) for r in windows.context_pairs(df, w).groupBy("doc_id").count().collect()}
         got = windows.context_counts(df, w)
         assert {tuple(r) for r in got.collect()} == want and "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_spearman_reads_its_values_once(spark):
+    from vectorloom.operators import evaluation
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def slow(x):
+        seen.add(1)
+        return float(x * 7 % 13)
+
+    df = spark.range(40).select(F.col("id").alias("x"), slow.asNondeterministic()("id").alias("y"))
+    r = evaluation.spearman(df, "x", "y").first()
+    assert r["n"] == 40 and seen.value <= 80  # the filter may ask once more

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .search import pair_similarity, quality_score
 from .vocab import folds, ranged
 
@@ -84,6 +85,7 @@ def average_rank(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """(n, correlation): Pearson's correlation of the ranks; 0 for fewer than two rows or no variance."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    both = written(both, "values")  # read five times by what follows, made once
     r = average_rank(average_rank(both, "x", "rx"), "y", "ry")
     c = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
     return r.agg(F.count("*").alias("n"), F.coalesce(c, F.lit(0.0)).alias("correlation"))
@@ -107,7 +109,6 @@ def cross_validate(sentences: DataFrame, config, k: int, key: str = "doc_id") ->
     """(fold, metrics) for each fold, and fold -1 with their means. Each fold
     gets a model of its own, trained on the others' sentences."""
     from ..plans.training import train
-    from ..sources.shared import written
 
     spark: SparkSession = sentences.sparkSession
     f = written(folds(sentences, [key, "sent_id"], k, config.seed), "folds")
