@@ -302,3 +302,15 @@ def test_hashed_search_by_blocks_gives_the_joined_pairs(spark, cloud, monkeypatc
     found = index.query(df, df.where("word_id in (0, 3, 7, 900, 901)"), 6)
     assert sorted((r["query"], r["neighbor"], r["rank"]) for r in found.collect()) == sorted(want)
     assert "Cartesian" in found._jdf.queryExecution().toString()
+
+
+def test_average_linkage_keeps_no_matrix():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(9000, 8)), np.zeros((2, 8))])
+    tracemalloc.start()
+    owner = clustering.linked(x, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and len(set(owner.tolist())) == 10  # the matrix alone takes 648 MB
